@@ -55,9 +55,9 @@ def discard(df: DataFrame) -> None:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """Shuffle partitions that follow the input: the session's number, or four for each scan split beyond it."""
+    """Shuffle partitions that follow the input: the session's number, or two for each scan split beyond it."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * df.rdd.getNumPartitions() if not df.isStreaming else 0, 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions(), 1)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

@@ -9,10 +9,11 @@ for which Python's pattern engine might split otherwise, go through the library
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 _CALL = 4096
 
 
@@ -24,7 +25,7 @@ class Encoder:
         self.library.model._resize_cache(0)  # the pieces kept here are all that recur
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.held: dict[str, bytes] = {}
-        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.pieces = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.plain = re.compile("[\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]*").fullmatch
         self.feed = self._one("\n")
 
@@ -48,30 +49,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [None if not self.plain(t) or any(s in t for s in self.special) else self.pieces(t) for t in texts]
+        split = [None if not (t.isascii() or self.plain(t)) or any(s in t for s in self.special) else self.pieces(t) for t in texts]
         held = self.held
         new = [p for p in set().union(*(s for s in split if s)) if p not in held]
         if new:
-            fresh = self._new(new)
-            room = CACHE_PIECES - len(held)
-            if len(fresh) <= room:
-                held.update(fresh)
-            else:
-                held = _Both(held, fresh)
-                for p in new[: max(0, room)]:
-                    self.held[p] = fresh[p]
+            held.update(self._new(new))
         get = held.__getitem__
-        return [self._one(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-
-
-class _Both:
-    """Kept pieces first, this call's others next."""
+        out = [self._one(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        for p in new[max(0, len(new) - max(0, len(held) - CACHE_PIECES)) :]:  # beyond the bound, only for this call
+            del held[p]
+        return out
 
-    def __init__(self, kept: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-        self.kept, self.fresh = kept, fresh
 
-    def __getitem__(self, piece: str) -> bytes:
-        return self.kept.get(piece) or self.fresh[piece]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a worker process, whose tasks share it."""
+    return Encoder(path)
 
 
 def texts_of(column) -> list[str]:  # noqa: ANN001

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.common import partitions_for, table, written
-from lumisift.llm.ids import Encoder, texts_of
+from lumisift.llm.ids import encoder, texts_of
 
 BLOCK, LANES = 1024, 16
 PERCENTILE = 0.98
@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, before = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encode, part, seq, before = encoder(path).encode, TaskContext.get().partitionId(), 0, 0
         held_ids, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -147,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
         for b in it:
             texts, doc_ids = texts_of(b.column(1)), b.column(0).to_pylist()
             for k in range(0, len(texts), 1000):
-                for d, x in zip(doc_ids[k : k + 1000], encoder.encode(texts[k : k + 1000]), strict=True):
+                for d, x in zip(doc_ids[k : k + 1000], encode(texts[k : k + 1000]), strict=True):
                     held_ids.append(d)
                     held.append(x + end)
                     size += len(x) // 4 + 1

@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +25,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.common import partitions_for, table
-from lumisift.llm.ids import Encoder, texts_of
+from lumisift.llm.ids import encoder, texts_of
 
 WIDTH = 2048
 END_ID = 1
 STRETCH = 1 << 20
 GRID = 64
 SENTENCE_CUT, OTHER_CUT, SHORT_WINDOW = 2.0, 12.0, 16.0
-POWERS = (256, 512, 1024)
+POWERS = (1024,)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _ascending(*places: np.ndarray) -> np.ndarray:
+    """Each place once, ascending."""
+    x = np.sort(np.concatenate(places), kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])]
+
+
 def places(ends: np.ndarray, sentence: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts of a stream and their penalties: document ends, sentence ends, and a grid in longer gaps."""
     total = int(ends[-1])
-    at = np.unique(np.concatenate([[0], ends, sentence]))
+    at = _ascending([0], ends, sentence)
     gap = np.diff(at)
     extra = (gap - 1) // grid
     fill = np.repeat(at[:-1], extra) + grid * (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1)
-    at = np.unique(np.concatenate([at, fill]))
+    at = _ascending(at, fill)
     cost = np.full(len(at), OTHER_CUT)
     cost[np.searchsorted(at, sentence)] = SENTENCE_CUT
     cost[np.searchsorted(at, ends)] = 0.0
@@ -91,7 +98,7 @@ def pack(ids: list[bytes], ends_sentence: np.ndarray, width: int = WIDTH) -> Ite
     sentence = np.flatnonzero(ends_sentence[stream]) + 1
     at = cuts(*places(ends, sentence), width)
     view = memoryview(data)
-    edges = np.unique(np.concatenate([[0], ends, at]))
+    edges = _ascending([0], ends, at)
     doc = np.searchsorted(ends, edges[:-1], "right")
     seq = np.searchsorted(np.array(at[1:]), edges[:-1], "right")
     begin = (ends - lengths)[doc]
@@ -100,6 +107,7 @@ def pack(ids: list[bytes], ends_sentence: np.ndarray, width: int = WIDTH) -> Ite
         yield d, s - b, e - s, zlib.crc32(view[4 * s : 4 * e]), q, s - o
 
 
+@lru_cache(maxsize=2)
 def sentence_ends(path: str) -> np.ndarray:
     """For each id, whether its text closes a sentence or a line."""
     from tokenizers import Tokenizer
@@ -118,7 +126,7 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, closes = Encoder(path), sentence_ends(path)
+        encode, closes = encoder(path).encode, sentence_ends(path)
         base = TaskContext.get().partitionId() << 36
         doc_ids, held, size = [], [], 0
 
@@ -131,7 +139,7 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH,
         for b in it:
             texts, own = texts_of(b.column(1)), b.column(0).to_pylist()
             for k in range(0, len(texts), 1000):
-                for d, x in zip(own[k : k + 1000], encoder.encode(texts[k : k + 1000]), strict=True):
+                for d, x in zip(own[k : k + 1000], encode(texts[k : k + 1000]), strict=True):
                     doc_ids.append(d)
                     held.append(x + end)
                     size += len(x) // 4 + 1
