@@ -11,8 +11,8 @@ compressed, many to a row. In a bucket only minimisers with two occurrences are
 minimiser are compared window by window with a sort.
 
 Null text counts as having no words. Rows that share a doc_id and text are one document met twice: neither starts
-earlier, so they lose the same words; texts that differ under one doc_id are told apart and in doc_id's place
-compared by start alone. A null doc_id sorts before all others. Other columns are ignored.
+earlier, so they lose the same words; texts that differ under one doc_id are told apart by 32 bits of their hash,
+and windows of them compared by start alone. A null doc_id sorts before all others. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 from lumisift.llm.common import partitions_for, table
 
 WINDOW = 20
-RUN = 4
+RUN = 3
+LEVEL = 3
 FLUSH_BYTES = 32 << 20
 SEEN = 300_000
 WORDS_HELD = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_HEAD = np.dtype([("mini", "<u8"), ("doc", "<i8"), ("own", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4"), ("often", "<u4")])
+_HEAD = np.dtype([("mini", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4")])
+_OFTEN = 1 << 31  # in windows: the minimiser occurs more than once
 
 
 class Words:
@@ -59,6 +62,12 @@ class Words:
             return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def _worker_words() -> Words:
+    """One a worker process, whose tasks share it."""
+    return Words()
+
+
 def super_kmers(h: np.ndarray, k: int = WINDOW, m: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a document's word hashes: minimiser, first window and number of windows of each super-k-mer, and whether its minimiser occurs in it more than once."""
     n = len(h) - k + 1
@@ -116,6 +125,23 @@ def _spans(at: list[int], k: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _columns(heads: list[bytes]) -> bytes:
+    """Heads field by field, which compresses better, after their number."""
+    h = np.frombuffer(b"".join(heads), _HEAD)
+    return struct.pack("<I", len(h)) + b"".join(h[f].tobytes() for f in _HEAD.names)
+
+
+def _heads(raw: bytes) -> tuple[np.ndarray, int]:
+    """The heads of a blob and where its texts start."""
+    n, at = struct.unpack_from("<I", raw)[0], 4
+    h = np.empty(n, _HEAD)
+    for f in _HEAD.names:
+        kind = _HEAD[f]
+        h[f] = np.frombuffer(raw, kind, n, at)
+        at += n * kind.itemsize
+    return h, at
+
+
 OUT = "bucket int, doc_id long, own long, spans binary, blob binary"
 _OUT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("own", pa.int64()), ("spans", pa.binary()), ("blob", pa.binary())])
 _NONE = -(1 << 63)
@@ -125,7 +151,7 @@ def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> Dat
     """Rows (bucket, blob) of packed super-k-mers, and rows (doc_id, own, spans) of what a task could mark itself."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, seen, press = Words(), {}, zstandard.ZstdCompressor(level=1)
+        words_of, seen, press = _worker_words(), {}, zstandard.ZstdCompressor(level=LEVEL)
         heads: list[list[bytes]] = [[] for _ in range(buckets)]
         texts: list[list[bytes]] = [[] for _ in range(buckets)]
         size = 0
@@ -134,7 +160,7 @@ def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> Dat
             nonlocal size
             own = [i for i in range(buckets) if heads[i]]
             for part in (own[i : i + 64] for i in range(0, len(own), 64)):
-                blobs = [press.compress(struct.pack("<I", len(heads[i])) + b"".join(heads[i]) + b"".join(texts[i])) for i in part]
+                blobs = [press.compress(_columns(heads[i]) + b"".join(texts[i])) for i in part]
                 none = [None] * len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((part, none, none, none, blobs), _OUT, strict=True)], schema=_OUT)
             for i in own:
@@ -153,7 +179,7 @@ def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> Dat
                 minis, firsts, counts, often = super_kmers(words_of.hashes(words), k, m)
                 s, e = (edge[firsts] - [len(words[i]) + 1 for i in firsts.tolist()]).tolist(), (edge[firsts + counts + k - 2] - 1).tolist()
                 head = np.zeros(len(minis), _HEAD)
-                head["mini"], head["doc"], head["own"], head["start"], head["windows"], head["size"], head["often"] = minis, doc, own, firsts, counts, np.array(e) - np.array(s), often
+                head["mini"], head["doc"], head["own"], head["start"], head["windows"], head["size"] = minis, doc, own, firsts, counts | np.where(often, _OFTEN, 0), np.array(e) - np.array(s)
                 raw, wide = head.tobytes(), _HEAD.itemsize
                 for i, (to, f, x, y) in enumerate(zip((minis % np.uint64(buckets)).tolist(), firsts.tolist(), s, e, strict=True)):
                     t = packed[x:y]
@@ -170,7 +196,7 @@ def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> Dat
                 if size > FLUSH_BYTES:
                     yield from flush()
             if local:
-                rows = [(o % buckets, None if d == _NONE else d, o, np.array(_spans(at, k), "<u4").tobytes(), None) for (d, o), at in local.items()]
+                rows = [((d ^ o) % buckets, None if d == _NONE else d, o, np.array(_spans(at, k), "<u4").tobytes(), None) for (d, o), at in local.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
         yield from flush()
 
@@ -192,14 +218,14 @@ def gather(rows: DataFrame, buckets: int, k: int = WINDOW) -> DataFrame:
             order = np.argsort(head["mini"], kind="stable")
             mini = head["mini"][order]
             cut = np.concatenate([[0], np.flatnonzero(mini[1:] != mini[:-1]) + 1, [len(mini)]])
-            open_ = np.flatnonzero((np.diff(cut) > 1) | np.logical_or.reduceat(head["often"][order] > 0, cut[:-1]))
+            open_ = np.flatnonzero((np.diff(cut) > 1) | np.logical_or.reduceat(head["windows"][order] >= _OFTEN, cut[:-1]))
             found: dict[tuple[int, int], list[int]] = {}
             for s, e in zip(cut[open_].tolist(), cut[open_ + 1].tolist(), strict=True):
                 rows = []
                 for i in order[s:e].tolist():
                     h = head[i]
                     x = int(ends[i])
-                    rows.append((int(h["doc"]), int(h["start"]), data[x - int(h["size"]) : x], int(h["windows"]), int(h["own"])))
+                    rows.append((int(h["doc"]), int(h["start"]), data[x - int(h["size"]) : x], int(h["windows"]) % _OFTEN, int(h["own"])))
                 for i, at in later_windows([r[:4] for r in rows], k):
                     found.setdefault((rows[i][0], rows[i][4]), []).append(at)
             if found:
@@ -217,9 +243,9 @@ def gather(rows: DataFrame, buckets: int, k: int = WINDOW) -> DataFrame:
                     heads, texts, held = [], [], 0
                 bucket = at
                 raw = press.decompress(blob)
-                n = struct.unpack_from("<I", raw)[0]
-                heads.append(np.frombuffer(raw, _HEAD, n, 4))
-                texts.append(raw[4 + n * _HEAD.itemsize :])
+                head, after = _heads(raw)
+                heads.append(head)
+                texts.append(raw[after:])
                 held += len(raw)
         if heads:
             yield from mark()
@@ -239,7 +265,7 @@ def cut_words(words: list[bytes], spans: list[bytes]) -> list[bytes]:
 
 def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = RUN, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and the kept text if asked for, of every row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("xxhash64(coalesce(cast(text as string), '')) & 4294967295").alias("own"), F.col("text").cast("string").alias("text"))
     buckets = partitions_for(docs)
     marked = gather(scatter(rows, buckets, k, m), buckets, k)
     spans = marked.groupBy("doc_id", "own").agg(F.collect_list("spans").alias("spans"))  # one document's, bounded by its length
