@@ -37,6 +37,8 @@ END_ID = 2
 
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
     """(groups, 1024) values below 2**width as (groups, 16 * width) words; lane k holds values k, 16 + k, ..."""
+    if not width:
+        return np.empty((len(v), 0), np.uint64)
     lanes = v.reshape(len(v), 64, LANES).transpose(1, 0, 2).astype(np.uint64)
     out = np.zeros((width, len(v), LANES), np.uint64)
     for i in range(64):
