@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 650_000
 _CALL = 4096
 
 
@@ -51,7 +51,7 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [None if not (t.isascii() or self.plain(t)) or any(s in t for s in self.special) else self.pieces(t) for t in texts]
         held = self.held
-        new = [p for p in set().union(*(s for s in split if s)) if p not in held]
+        new = list(set().union(*(s for s in split if s)).difference(held))
         if new:
             held.update(self._new(new))
         get = held.__getitem__

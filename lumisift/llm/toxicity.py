@@ -29,7 +29,7 @@ FEATURES = 4_096
 LEAST_CHI = 30.0
 MIN_ROWS = 5
 GRADES = 3
-WORDS_HELD = 300_000
+WORDS_HELD = 100_000
 BEGINNINGS = (3, 4, 5, 6)
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -62,7 +62,7 @@ class Features:
 
 @dataclass
 class Model:
-    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint32))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     theta: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, np.inf))
 
@@ -71,11 +71,12 @@ class Model:
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) of each row and threshold."""
-        return 1 / (1 + np.exp(np.clip(self.theta[None, :] - score[:, None], -60, 60)))
+        up = 1 / (1 + np.exp(np.clip(self.theta[None, :] - score[:, None], -60, 60)))
+        return np.where(np.isposinf(self.theta)[None, :], 0.0, up)
 
 
 def _rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists) if lists else np.empty(0, np.int64)
+    return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate(lists) if lists else np.empty(0, np.uint32)
 
 
 def fit(lists: list[np.ndarray], toxic: np.ndarray, epochs: int = 400, rate: float = 0.1, decay: float = 2e-6) -> Model:
@@ -84,12 +85,18 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, epochs: int = 400, rate: flo
         return Model()
     row, col = _rows(lists)
     n, pos = len(lists), int(toxic.sum())
-    keys, col = np.unique(col, return_inverse=True)
+    keys, seen = np.unique(col, return_counts=True)
+    keys = keys[seen >= MIN_ROWS]
+    if not len(keys):
+        return Model()
+    at = np.minimum(np.searchsorted(keys, col), len(keys) - 1).astype(np.int32)
+    often = keys[at] == col
+    row, col = row[often], at[often]
     df = np.bincount(col, minlength=len(keys)).astype(float)
     hit = np.bincount(col, weights=toxic[row], minlength=len(keys))
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * (hit * (n - pos - df + hit) - (pos - hit) * (df - hit)) ** 2 / (pos * (n - pos) * df * (n - df))
-    chi[(df < MIN_ROWS) | ~(chi >= LEAST_CHI)] = 0
+    chi[~(chi >= LEAST_CHI)] = 0
     places = np.sort(np.argsort(-chi, kind="stable")[: min(FEATURES, int((chi > 0).sum()))])
     model = Model(keys[places])
     known = np.full(len(keys), -1, np.int64)
@@ -137,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     picked = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most `rows` rows of two values
     got = sorted((bool(r["toxic"]), bytes(r["words"])) for r in picked.mapInArrow(run, "toxic boolean, words binary").limit(2 * rows).collect())
-    return fit([np.frombuffer(w, "<u4").astype(np.int64) for _, w in got], np.array([t for t, _ in got], bool))
+    return fit([np.frombuffer(w, "<u4") for _, w in got], np.array([t for t, _ in got], bool))
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
