@@ -18,7 +18,7 @@ def _blocks(rows: DataFrame, key: str, radius: int) -> DataFrame:
     """A row a block of bits: hashes within the radius agree in one of radius + 1 blocks."""
     n = radius + 1
     edges = [64 * i // n for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("i"), F.expr(f"shiftrightunsigned({key}, {e0}) & {(1 << (e1 - e0)) - 1}L").alias("bits")) for i, (e0, e1) in enumerate(zip(edges, edges[1:], strict=False))]
+    parts = [F.struct(F.lit(i).alias("i"), F.expr(f"shiftrightunsigned({key}, {e0}) & {(1 << (e1 - e0)) - 1 if e1 - e0 < 64 else -1}L").alias("bits")) for i, (e0, e1) in enumerate(zip(edges, edges[1:], strict=False))]
     return rows.withColumn("block", F.explode(F.array(*parts)))
 
 
