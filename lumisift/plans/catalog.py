@@ -281,7 +281,7 @@ SELECT r.id, round(max(w.c), 6) AS confidence FROM ranked r JOIN widest w ON w.n
 def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
     rows = groups.ranked(photos, groups.members(photos, edges), LOOSE)
-    return groups.confidence(rows.select("id", "rank"), edges).select("id", r6("confidence"))
+    return groups.confidence(rows, edges).select("id", r6("confidence"))
 
 
 @query(f"""WITH {_GROUPS} SELECT component, 'similar' AS kind, arg_min(id, rank) AS recommended_id, array_to_string(list(id ORDER BY rank) FILTER (rank <= 4), ',') AS covers, count(*) AS size, bool_or(id % 2 = 0) AS any_even,

@@ -118,6 +118,9 @@ def test_group_confidence_is_the_weakest_link(spark):
     got = groups.groups(df, e, P.BALANCED).collect()
     assert [(r["size"], r["recommended_id"], r["face_safe"]) for r in got] == [(3, 3, True), (2, 5, False)]
     assert got[0]["confidence"] == {3: 1.0, 2: 0.8, 1: 0.8} and got[0]["covers"] == [3, 2, 1] and got[0]["member_ids"] == [1, 2, 3]
+    ranked = groups.ranked(df, groups.members(df, e), P.BALANCED)
+    for most in (0, 1000):  # both ways
+        assert {r["id"]: r["confidence"] for r in groups.confidence(ranked, e, most).collect()} == {1: 0.8, 2: 0.8, 3: 1.0, 4: 0.95, 5: 1.0}
     three = P.replace(P.BALANCED, similarity=P.replace(P.BALANCED.similarity, min_group_size=3))
     assert groups.groups(df, e, three).count() == 1
 
