@@ -79,7 +79,7 @@ def encode_blocks(values: np.ndarray, percentile: float = PERCENTILE) -> list[by
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         r = rest[rows]
-        over = (r.astype(np.uint64) >> np.uint64(w)) > 0
+        over = r > np.uint32((1 << w) - 1)
         packed = _pack(np.where(over, 0, r), w)
         at, pos = np.nonzero(over)
         cut = np.searchsorted(at, np.arange(len(rows) + 1))
