@@ -9,6 +9,7 @@ for which Python's pattern engine might split otherwise, go through the library
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,22 @@ CACHE_PIECES = 800_000
 _CALL = 4096
 
 
+class _Held(dict):
+    """Ids of pieces; a piece met first has a place that is filled before the call's ids are joined."""
+
+    def __init__(self) -> None:
+        self.fresh: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytearray:
+        x = self[piece] = self.fresh[piece] = bytearray()
+        return x
+
+
+def _splitter(letters: str, space: str) -> Callable[[str], list[str]]:
+    """The byte-level tokenizer's split, for texts whose letters and white space are these and whose digits are ASCII."""
+    return re.compile(rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{space}{letters}0-9]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -24,8 +41,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.model._resize_cache(0)  # the pieces kept here are all that recur
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.held: dict[str, bytes] = {}
-        self.pieces = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.held = _Held()
+        # where classes of characters are known: ASCII, and the Latin letters with some marks
+        self.ascii = _splitter("A-Za-z", r"\t-\r ")
+        self.latin = _splitter("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"\t-\r \xa0")
         self.plain = re.compile("[\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]*").fullmatch
         self.feed = self._one("\n")
 
@@ -47,17 +66,27 @@ class Encoder:
                 out[p] = data[s:e]
         return out
 
+    def _split(self, text: str) -> list[str] | None:
+        """A text's pieces; None where the library must split it."""
+        split = self.ascii if text.isascii() else self.latin if self.plain(text) else None
+        return None if split is None or any(s in text for s in self.special) else split(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [None if not (t.isascii() or self.plain(t)) or any(s in t for s in self.special) else self.pieces(t) for t in texts]
         held = self.held
-        new = list(set().union(*(s for s in split if s)).difference(held))
-        if new:
-            held.update(self._new(new))
         get = held.__getitem__
-        out = [self._one(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        for p in new[max(0, len(new) - max(0, len(held) - CACHE_PIECES)) :]:  # beyond the bound, only for this call
-            del held[p]
+        found = [None if (s := self._split(t)) is None else list(map(get, s)) for t in texts]
+        fresh, held.fresh = held.fresh, {}
+        new = self._new(list(fresh))
+        for p, x in fresh.items():
+            x += new[p]
+        out = [self._one(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
+        room = CACHE_PIECES - (len(held) - len(fresh))
+        for i, p in enumerate(fresh):
+            if i < room:
+                held[p] = new[p]
+            else:  # beyond the bound, only for this call
+                del held[p]
         return out
 
 
