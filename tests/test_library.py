@@ -15,7 +15,7 @@ from lumisift.functions import scalars as S
 from lumisift.operators import dedupe, faces, groups, library, quality, raster, similarity
 from lumisift.plans import profiles as P
 from lumisift.plans.catalog import ORACLE_SQL, QUERIES
-from lumisift.sources import files
+from lumisift.sources import files, moves
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -171,6 +171,61 @@ def test_decision_tables_round_trip(spark, tmp_path):
     assert (got["path"], got["decision"]) == ("a,b.jpg", "keep")
 
 
+def test_eyes_are_cropped_about_their_centres():
+    image = np.zeros((80, 100, 3), np.uint8)
+    image[40:] = (255, 128, 0)
+    eyes = faces.eye_pair(image, (30.0, 40.0), (70.0, 40.0), 12)
+    assert eyes.shape == (2, 3, 24, 40) and eyes.dtype == np.float32
+    assert not eyes[:, :, :11].any() and np.allclose(eyes[0, :, 14:, 20], np.array([[1.0], [128 / 255], [0.0]]))
+    assert faces.eye_pair(image, (30.0, 40.0), (35.0, 40.0), 12) is None
+    assert not faces.eye_crop(image, (-50.0, -50.0), 40, 0.3).any()
+
+
+def _batch(spark, tmp_path):
+    """Three planned photos: one with a clip, one changed since, one gone."""
+    (tmp_path / "a").mkdir()
+    for name, data in (("a/x.jpg", b"xx"), ("a/x.mov", b"clip"), ("b.jpg", b"changed")):
+        (tmp_path / name).write_bytes(data)
+    rows = [(1, "a/x.jpg", 2, "move", "a/x.mov", 4), (2, "b.jpg", 1, "move", None, None), (3, "gone.jpg", 1, "move", None, None), (4, "c.jpg", 1, "missing", None, None)]
+    return spark.createDataFrame(rows, "id long, relative_path string, size long, state string, motion_relative_path string, motion_size long")
+
+
+def test_batches_move_and_come_back(spark, tmp_path):
+    plan, root = _batch(spark, tmp_path), str(tmp_path)
+    assert moves.apply_batch(plan, root, "b1") == {"moved": 1, "changed": 1, "missing": 1}
+    assert not (tmp_path / "a/x.jpg").exists() and not (tmp_path / "a/x.mov").exists() and (tmp_path / "b.jpg").exists()
+    assert moves.apply_batch(plan, root, "b1") == {"moved": 1, "changed": 1, "missing": 1}  # again: nothing moves
+    (tmp_path / "a/x.jpg").write_bytes(b"another")
+    assert moves.restore_batch(root, "b1") == {"restored": 1, "conflicts": 1, "missing": 0}
+    assert (tmp_path / "a/x.jpg").read_bytes() == b"another" and (tmp_path / "a/x (restored).jpg").read_bytes() == b"xx" and (tmp_path / "a/x.mov").read_bytes() == b"clip"
+    assert moves.restore_batch(root, "b1") == {"restored": 0, "conflicts": 0, "missing": 0}
+    with pytest.raises(ValueError):
+        moves.Ledger(root, "../b1")
+
+
+def test_cut_off_batches_are_taken_up(spark, tmp_path):
+    plan, root = _batch(spark, tmp_path), str(tmp_path)
+    ledger = moves.Ledger(root, "b2")
+    entry = {"id": 1, "relative_path": "a/x.jpg", "size": 2, "motion_relative_path": "a/x.mov", "motion_size": 4}
+    ledger.append({**entry, "state": "moving"})
+    os.makedirs(tmp_path / "_quarantine/b2/files/a")
+    os.rename(tmp_path / "a/x.jpg", tmp_path / "_quarantine/b2/files/a/x.jpg")  # the clip had not moved yet
+    with open(ledger.path, "a") as f:
+        f.write('{"id": 1, "sta')
+    assert moves.apply_batch(plan.where("id = 1"), root, "b2") == {"moved": 1}
+    ledger.append({**entry, "state": "restoring", "back_to": "a/x.jpg", "motion_back_to": "a/x.mov"})
+    os.rename(tmp_path / "_quarantine/b2/files/a/x.jpg", tmp_path / "a/x.jpg")
+    assert moves.restore_batch(root, "b2") == {"restored": 1, "conflicts": 0, "missing": 0}
+    assert (tmp_path / "a/x.jpg").exists() and (tmp_path / "a/x.mov").exists()
+
+
+def test_half_moves_are_undone(spark, tmp_path):
+    plan, root = _batch(spark, tmp_path), str(tmp_path)
+    os.makedirs(tmp_path / "_quarantine/b3/files/a/x.mov")  # something stands in the clip's way
+    assert moves.apply_batch(plan.where("id = 1"), root, "b3") == {"failed": 1}
+    assert (tmp_path / "a/x.jpg").exists() and (tmp_path / "a/x.mov").exists()
+
+
 def test_snapshots_migrate_and_stream(spark, tmp_path):
     from pyspark.sql import types as T
 
