@@ -353,3 +353,18 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     spark.createDataFrame([(r[0], 1, 1) for r in toxic[:30]] + [(r[0], 1, 0) for r in fine[:90]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in fine}
+
+
+def test_cached_ids_are_the_librarys(monkeypatch):
+    from lumisift.llm import ids
+
+    monkeypatch.setattr(ids, "CACHE_PIECES", 300)  # pieces beyond the bound serve one call only
+    own, library = ids.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    marks = [chr(c) for c in (*range(128), *range(128, 0x250), *range(0x2010, 0x2030), 0x20AC, 0x660, 0x3B1, 0x4E00, 0x1F642)]
+    some = random.Random(3)
+    for _ in range(40):
+        texts = ["".join(some.choice(some.choice((marks, marks[:128], " '  sdtmrelv\n\n09aZ.,_-"))) for _ in range(some.randrange(80))) for _ in range(40)]
+        texts += ["", "  ", "a <|endoftext|> b", "<|endoftext|>", "it's we'll 've"]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert own.encode(texts) == want
+        assert len(own.held) <= 300 and not own.held.fresh and all(type(x) is bytes for x in own.held.values())
