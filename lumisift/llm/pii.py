@@ -1,8 +1,8 @@
 """Personal data by information-theoretic sanitisation, with built-in functions only.
 
 Protected entities are the values of e-mail addresses, IP addresses, card and phone numbers found in the texts.
-A term (a run of letters and digits, lower case) met within CONTEXT characters of an entity e in at least
-MIN_TEXTS different texts discloses it to the degree PMI(e; term) / IC(e), estimated from the whole corpus:
+A term (a run of letters and digits, lower case) met within CONTEXT characters of an entity e, however rare e is,
+discloses it to the degree PMI(e; term) / IC(e), estimated from the whole corpus:
 PMI = log2(N n_et / (n_e n_t)) and IC = log2(N / n_e), with n the numbers of documents. In documents that name the
 entity, terms from GENERALISE up are replaced by a marker and from REMOVE up removed, wherever they stand; entities
 are replaced by their kind. Other documents are left as they are.
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from lumisift.llm.common import table, written
 
 CONTEXT = 80
-MIN_TEXTS = 3
 LEAST_LENGTH = 3
 GENERALISE, REMOVE = 0.7, 0.9
 BROADCAST_TERMS = 100_000
@@ -75,9 +74,9 @@ def risky_terms(docs: DataFrame, named: DataFrame) -> DataFrame:
     seen = named.select("own", "doc_id", "text", F.explode("base").alias("x")).select("own", "doc_id", F.expr(_entity("x")).alias("entity"), F.expr(
         f"concat(regexp_replace(substring(text, greatest(1, x.s - {CONTEXT}), least(x.s, {CONTEXT} + 1)), if(x.s > {CONTEXT} + 1, '^[\\\\p{{L}}\\\\p{{N}}]+', '^$'), ''), ' ', regexp_replace(substring(text, x.e + 1, {CONTEXT}), if(length(text) > x.e + {CONTEXT}, '[\\\\p{{L}}\\\\p{{N}}]+$', '^$'), ''))"
     ).alias("near"))
-    entities = seen.select("entity", "doc_id", "own").distinct().groupBy("entity").agg(F.countDistinct("own").alias("texts"), F.count("*").alias("n_e")).where(F.col("texts") >= MIN_TEXTS).drop("texts")
+    entities = seen.select("entity", "doc_id", "own").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     near = seen.select("entity", "doc_id", "own", F.explode(F.expr(f"split(lower(near), '{_BREAK}')")).alias("term")).where(F.length("term") >= LEAST_LENGTH).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("own").alias("texts"), F.count("*").alias("n_et")).where(F.col("texts") >= MIN_TEXTS).drop("texts").join(entities, "entity")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(entities, "entity")
     pairs = written(pairs.select("entity", "term", "n_e", "n_et"), "near-terms")
     terms = pairs.select("term").distinct()
     if not (k := terms.limit(BROADCAST_TERMS + 1).count()):

@@ -163,6 +163,13 @@ def test_pii_removes_terms_that_disclose(spark):
     assert got[100]["text"] == rows[6][1] and len(got) == len(rows) and got[0]["n_chars"] == 1
 
 
+def test_pii_assesses_entities_of_one_text(spark):
+    rows = [(0, "note of Zorbon, mail zed@mail.example"), (1, "note from 10.9.8.7 to Quillet here")] + [(100 + i, f"note of mail from plain to here {i}") for i in range(200)]
+    got = byid(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[0]["text"] == "note of , mail <EMAIL>" and got[1]["text"] == "note from <IP> to  here"
+    assert all(got[d]["text"] == t for d, t in rows[2:])
+
+
 def test_token_counts_equal_the_library(docs):
     t = Tokenizer.from_file(WORD)
     for r in tokencount.token_counts(docs, WORD).collect():
