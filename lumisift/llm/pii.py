@@ -1,28 +1,28 @@
 """Personal data by information-theoretic sanitisation, with built-in functions only.
 
 Protected entities are the values of e-mail addresses, IP addresses, card and phone numbers found in the texts.
-A term (a run of letters and digits, lower case) met within CONTEXT characters of an entity e, however rare e is,
-discloses it to the degree PMI(e; term) / IC(e), estimated from the whole corpus:
-PMI = log2(N n_et / (n_e n_t)) and IC = log2(N / n_e), with n the numbers of documents. In documents that name the
-entity, terms from GENERALISE up are replaced by a marker and from REMOVE up removed, wherever they stand; entities
-are replaced by their kind. Other documents are left as they are.
-
-Candidates are the terms beside entities; their document counts are taken over all documents, by a broadcast join
-while they are at most BROADCAST_TERMS and by a shuffled one beyond. Null text counts as empty; rows alike in doc_id
-and text get the same result; other columns are ignored, or kept by sanitised().
+A term (a run of at least LEAST_LENGTH letters and digits, lower case) that stands anywhere in a document naming an
+entity e, however rare e is, discloses it to the degree PMI(e; term) / IC(e), estimated from the whole corpus:
+PMI = log2(N n_et / (n_e n_t)) and IC = log2(N / n_e), with n the numbers of documents, repeated rows included. An
+entity that every document names has no IC and is disclosed by nothing. In documents that name the entity, terms from
+GENERALISE up are replaced by a marker and from REMOVE up removed, wherever they stand outside entities; entities are
+replaced by their kind. Other documents are left as they are.
+
+Entities and terms are paired only where n_t lets the term reach GENERALISE with n_et = n_e, so nothing is lost, and
+entities that stand in the same documents are paired once. Null text counts as empty; rows alike in doc_id and text
+get the same result; other columns are ignored, or kept by sanitised().
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lumisift.llm.common import table, written
 
-CONTEXT = 80
 LEAST_LENGTH = 3
 GENERALISE, REMOVE = 0.7, 0.9
-BROADCAST_TERMS = 100_000
 KINDS = ("email", "ip", "card", "phone")
 _SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 # Runs are entered at their start or where the last match ended, and repeats are possessive: nothing is scanned twice.
@@ -66,38 +66,49 @@ def _entity(span: str) -> str:
     return f"concat({span}.kind, ':', case {span}.kind when 'email' then lower({span}.v) when 'ip' then {span}.v else regexp_replace({span}.v, '[^0-9]', '') end)"
 
 
-_BREAK = r"[^\\p{L}\\p{N}]+"
-
-
-def risky_terms(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(entity, term, action) from all documents (doc_id, text) and those with entities (doc_id, own, text, base)."""
-    seen = named.select("own", "doc_id", "text", F.explode("base").alias("x")).select("own", "doc_id", F.expr(_entity("x")).alias("entity"), F.expr(
-        f"concat(regexp_replace(substring(text, greatest(1, x.s - {CONTEXT}), least(x.s, {CONTEXT} + 1)), if(x.s > {CONTEXT} + 1, '^[\\\\p{{L}}\\\\p{{N}}]+', '^$'), ''), ' ', regexp_replace(substring(text, x.e + 1, {CONTEXT}), if(length(text) > x.e + {CONTEXT}, '[\\\\p{{L}}\\\\p{{N}}]+$', '^$'), ''))"
-    ).alias("near"))
-    entities = seen.select("entity", "doc_id", "own").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = seen.select("entity", "doc_id", "own", F.explode(F.expr(f"split(lower(near), '{_BREAK}')")).alias("term")).where(F.length("term") >= LEAST_LENGTH).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(entities, "entity")
-    pairs = written(pairs.select("entity", "term", "n_e", "n_et"), "near-terms")
-    terms = pairs.select("term").distinct()
-    if not (k := terms.limit(BROADCAST_TERMS + 1).count()):
-        return pairs.select("entity", "term", F.lit("").alias("action"))
-    words = docs.select("doc_id", F.explode(F.expr(f"array_distinct(split(lower(text), '{_BREAK}'))")).alias("term"))
-    counts = words.join(F.broadcast(terms) if k <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
-    told = pairs.join(counts, "term").withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_e"))).where("ic > 0")
-    told = told.withColumn("told", F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.col("ic"))
-    return told.where(F.col("told") >= GENERALISE).select("entity", "term", F.when(F.col("told") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-
-
-def term_spans(named: DataFrame, risky: DataFrame) -> DataFrame:
-    """named with `terms`: spans of the terms that disclose an entity the row names, their action as value."""
-    keyed = named.select("doc_id", "own", F.explode(F.expr(f"array_distinct(transform(base, x -> {_entity('x')}))")).alias("entity"))
-    lists = keyed.join(risky, "entity").groupBy("doc_id", "own").agg(F.collect_set(F.struct("term", "action")).alias("risky"))  # a document's own
-    joined = named.alias("n").join(lists.alias("l"), F.col("n.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("n.own") == F.col("l.own")), "left").select("n.*", "l.risky")
-    pattern = r"concat('(?iu)(?<![\\p{L}\\p{N}])(?:', array_join(array_sort(transform(risky, x -> x.term)), '|'), ')(?![\\p{L}\\p{N}])')"
-    out = F.expr(f"if(risky is null, cast(array() as {_SPAN}), {matches('text', pattern, 'term')})")
-    act = "if(exists(risky, r -> r.term = lower(x.v) and r.action = 'remove'), 'remove', 'generalise')"
-    return joined.withColumn("terms", out).withColumn("terms", F.expr(f"transform(terms, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'v', {act}))")).drop("risky")
+_WORD, _BREAK = r"'[\\p{L}\\p{N}]+'", r"'[^\\p{L}\\p{N}]+'"
+_LOWER = "lower(replace(text, 'İ', 'i'))"  # as long as the text: İ alone has two code points in lower case
+
+
+def named_terms(named: DataFrame) -> DataFrame:
+    """(own, term, ends): the terms of each text of named (own, text), with the places, in code points, where they end."""
+    pieces = F.expr(f"arrays_zip(split({_LOWER}, {_WORD}, -1), regexp_extract_all({_LOWER}, {_WORD}, 0))")
+    words = named.select("own", "text").dropDuplicates(["own"]).select("own", F.posexplode(pieces).alias("i", "x"))
+    end = F.sum(F.length("x.0") + F.length("x.1")).over(W.partitionBy("own").orderBy("i"))
+    placed = words.select("own", F.col("x.1").alias("term"), end.cast("int").alias("end"))
+    return placed.where(F.length("term") >= LEAST_LENGTH).groupBy("own", "term").agg(F.collect_list("end").alias("ends"))
+
+
+def risky_terms(docs: DataFrame, named: DataFrame) -> DataFrame | None:
+    """(own, term, ends, told): terms of the documents with entities, named (own, text, base), that disclose one of them from GENERALISE up; None without entities."""
+    held = named.select("own", F.explode(F.expr(f"array_distinct(transform(base, x -> {_entity('x')}))")).alias("entity")).groupBy("own", "entity").agg(F.count("*").alias("m"))
+    held = written(held, "entities")
+    # entities of the same documents have the same counts with every term: one group, known by two hashes of these
+    entities = held.groupBy("entity").agg(F.sum("m").alias("n_e"), F.expr("bit_xor(xxhash64(own))").alias("a"), F.expr("bit_xor(xxhash64(own, 1))").alias("b"))
+    groups = written(held.join(entities, "entity").select("own", "m", "n_e", "a", "b").distinct(), "entity-groups")
+    if (most := groups.agg(F.max("n_e")).first()[0]) is None:
+        return None
+    total = float(docs.count())
+    words = docs.select(F.explode(F.expr(f"array_distinct(split({_LOWER}, {_BREAK}))")).alias("term")).where(F.length("term") >= LEAST_LENGTH)
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= (total / most) ** -GENERALISE * total * (1 + 1e-9))
+    ic = F.log2(F.lit(total) / F.col("n_e"))
+    pairs = named_terms(named).join(counts, "term").join(groups.withColumn("ic", ic).where("ic > 0"), "own").where(F.log2(F.lit(total) / F.col("n_t")) >= GENERALISE * F.col("ic") - 1e-9)
+    pairs = pairs.withColumn("n_et", F.sum("m").over(W.partitionBy("term", "n_e", "a", "b")))
+    told = pairs.withColumn("told", F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.col("ic")).where(F.col("told") >= GENERALISE)
+    return told.groupBy("own", "term").agg(F.first("ends").alias("ends"), F.max("told").alias("told"))
+
+
+def term_spans(named: DataFrame, risky: DataFrame | None) -> DataFrame:
+    """named with `terms`: spans, outside entities, of the terms that disclose an entity the row names, their action as value."""
+    if risky is None:
+        return named.withColumn("terms", F.expr(f"cast(array() as {_SPAN})"))
+    act = F.when(F.col("told") >= REMOVE, "remove").otherwise("generalise").alias("v")
+    terms = risky.select("own", F.length("term").alias("n"), F.explode("ends").alias("e"), act).select("own", (F.col("e") - F.col("n")).alias("s"), "e", "v")
+    entities = named.select("own", F.explode("base").alias("x")).select("own", "x.s", "x.e", F.lit(None).cast("string").alias("v"))
+    covered = F.max(F.when(F.col("v").isNull(), F.col("e"))).over(W.partitionBy("own").orderBy("s"))
+    free = terms.union(entities).withColumn("covered", covered).where("v is not null and (covered is null or covered < e)")
+    lists = free.groupBy("own").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "s", "e", "v"))).alias("terms"))
+    return named.join(lists, "own", "left").withColumn("terms", F.expr(f"coalesce(terms, cast(array() as {_SPAN}))"))
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +116,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans())
     some = F.size("base") > 0
-    kept = written(spans.select("doc_id", "base", F.when(some, F.col("text")).alias("text"), F.when(some, F.xxhash64("text")).alias("own")), "personal")
+    kept = written(spans.select("doc_id", "base", F.when(some, F.col("text")).alias("text"), F.when(some, F.xxhash64("doc_id", "text")).alias("own")), "personal")
     named = kept.where("text is not null").select("doc_id", "own", "text", "base")
     return kept.where("text is null").select("doc_id"), term_spans(named, risky_terms(rows, named))
 
@@ -136,7 +147,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     base = F.when(F.col("text").isNull(), F.expr(f"cast(array() as {_SPAN})")).otherwise(base_spans("cast(text as string)"))
     row = docs.select(F.struct(*[F.col(c) for c in cols]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), base.alias("base"))
-    named = written(row.where(F.size("base") > 0).withColumn("own", F.xxhash64("text")), "personal")
+    named = written(row.where(F.size("base") > 0).withColumn("own", F.xxhash64("doc_id", "text")), "personal")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = term_spans(named, risky_terms(every, named.select("doc_id", "own", "text", "base")))
     changed = found.withColumn("_text", F.expr(_redacted())).select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.{c}") for c in cols])

@@ -170,6 +170,47 @@ def test_pii_assesses_entities_of_one_text(spark):
     assert all(got[d]["text"] == t for d, t in rows[2:])
 
 
+def brute_terms(texts):
+    """Spans of disclosing terms of each text, by counts over whole texts."""
+    words = [{m.group().lower() for m in re.finditer(r"[^\W_]{3,}", t)} for t in texts]
+    spans = [[s.split(":") for s in brute_spans(t)] for t in texts]
+    names = [{(k, t[int(s) : int(e)]) for k, s, e in x} for t, x in zip(texts, spans, strict=True)]
+    n, out = len(texts), []
+    for t, own, entities in zip(texts, spans, names, strict=True):
+        found = []
+        for m in re.finditer(r"[^\W_]{3,}", t):
+            told = []
+            for x in entities:
+                having, n_e, n_t = [m.group().lower() in w for w in words], sum(x in y for y in names), sum(m.group().lower() in w for w in words)
+                n_et = sum(h and x in y for h, y in zip(having, names, strict=True))
+                told.append(np.log2(n * n_et / (n_e * n_t)) / np.log2(n / n_e))
+            if max(told, default=0) >= pii.GENERALISE and not any(int(s) <= m.start() and m.end() <= int(e) for _, s, e in own):
+                found.append((m.start(), m.end(), "remove" if max(told) >= pii.REMOVE else "generalise"))
+        out.append(found)
+    return out
+
+
+def test_pii_terms_equal_counts_over_whole_documents(spark):
+    fill = "plain words that stand in every one of these texts " * 6
+    some = random.Random(4)
+    pool = [f"w{k:03}" for k in range(300)]
+    texts = [f"Zorbon heads this. {fill}{i} call +1 234 555 6789" for i in range(10)]  # far from the number in all, near in three
+    texts = [t + (" as Quillet says" if i < 3 else f" {fill} as Quillet says") for i, t in enumerate(texts)]
+    texts += [f"{' '.join(some.choices(pool, k=some.randrange(5, 60)))} éa@b.example 10.0.0.{i % 7} {fill}" for i in range(30)]
+    texts += [f"{fill} {' '.join(some.choices(pool, k=20))} {'Quillet' if i == 0 else 'İstanbul'}" for i in range(160)]
+    texts.append("İstanbul 🙂 has Vark and vark@vark.example")
+    texts.append(texts[0])
+    rows = list(enumerate(texts)) + [(0, texts[0])]  # a row met twice
+    want = brute_terms([t for _, t in rows])
+    got = byid(pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    for (d, _), w in zip(rows, want, strict=True):
+        assert [s for s in got[d]["spans"].split(",") if s.startswith("term")] == [f"term:{s}:{e}" for s, e, _ in w], d
+        assert got[d]["n_term"] == len(w)
+    sanitised = byid(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all("Zorbon" not in sanitised[d]["text"] and "Quillet" not in sanitised[d]["text"] for d in range(10))
+    assert all(w == [] for (d, _), w in zip(rows, want, strict=True) if 40 <= d < 200) and sum(map(len, want)) > 50
+
+
 def test_token_counts_equal_the_library(docs):
     t = Tokenizer.from_file(WORD)
     for r in tokencount.token_counts(docs, WORD).collect():
