@@ -11,8 +11,7 @@ precision. Lists split into blocks of BLOCK_ROWS meet block by block, and a bloc
 spanning forest of its links, never the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with null label, link with nothing;
-lengths may differ, and only vectors of the commonest length's group of their own label are compared with their
-own length (others count as unusable). Rows that share a vec_id count as one vector, their smallest (label,
+lengths may differ: each has its own index, and vectors are compared within their label and length. Rows that share a vec_id count as one vector, their smallest (label,
 embedding); each row is returned. A null vec_id has n_links 0 and component null. Other columns are ignored.
 """
 
@@ -23,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,64 +135,69 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
     none = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     parts = partitions_for(rows)
     fine = written(usable(rows), "vectors")
-    sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
+    indexes: dict[int, Index] = {}  # one a length; a vector alone in its length links with nothing
+    for dims, total in fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect():
+        sample = fine.where(F.size("v") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks()
+        x = _units(sample)
+        indexes[dims] = fit(x / np.linalg.norm(x, axis=1)[:, None], lists or int(np.clip(np.sqrt(total) / 4, 4, 1024)))
+    if not indexes:
         return none
-    dims, total = sizes[0]["d"], sizes[0]["count"]
-    fine = fine.where(F.size("v") == dims)
-    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks()
-    x = _units(sample)
-    index = fit(x / np.linalg.norm(x, axis=1)[:, None], lists or int(np.clip(np.sqrt(total) / 4, 4, 1024)))
     reach = np.sqrt(2 - 2 * least) + _SLACK
-    span = np.sqrt(_square(index.coarse, index.coarse))
+    spans = {dims: np.sqrt(_square(i.coarse, i.coarse)) for dims, i in indexes.items()}
+
+    def by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        size = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        for dims in np.unique(size).tolist():
+            if dims in indexes:
+                yield dims, b if (size == dims).all() else b.take(pa.array(np.flatnonzero(size == dims)))
 
     def unit(b: pa.RecordBatch) -> np.ndarray:
         v = _units(b.column(2))
         return v / np.linalg.norm(v, axis=1)[:, None]
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(index.cells(unit(b)).argmin(1).astype(np.int32))], names=["label", "cell"])
+        for whole in it:
+            for dims, b in by_length(whole):
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.full(b.num_rows, dims, np.int32)), pa.array(indexes[dims].cells(unit(b)).argmin(1).astype(np.int32))], names=["label", "dims", "cell"])
 
-    counts = fine.select("vec_id", "label", "v").mapInArrow(place, "label string, cell int").groupBy("label", "cell").count()
+    counts = fine.select("vec_id", "label", "v").mapInArrow(place, "label string, dims int, cell int").groupBy("label", "dims", "cell").count()
     # lists that need more than one block: at most rows / block_rows of them
-    split = {(r["label"], r["cell"]): -(-r["count"] // block_rows) for r in counts.where(F.col("count") > block_rows).collect()}
-    kind = "label string, cell int, db int, qb int, query boolean, vec_id long, v array<double>"
-    schema = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("db", pa.int32()), ("qb", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    split = {(r["label"], r["dims"], r["cell"]): -(-r["count"] // block_rows) for r in counts.where(F.col("count") > block_rows).collect()}
+    kind = "label string, dims int, cell int, db int, qb int, query boolean, vec_id long, v array<double>"
+    schema = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("cell", pa.int32()), ("db", pa.int32()), ("qb", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
-                d = index.cells(unit(b))
-                own = d.argmin(1)
-                least_d = d[np.arange(len(d)), own]
-                row, cell = np.nonzero(d - least_d[:, None] <= 2 * reach * span[own] + _SLACK)
-                vec, label = np.asarray(b.column(0)), b.column(1).to_pylist()
-                at, cells, dbs, qbs, query = [], [], [], [], []
-
-                def put(r: int, c: int, i: int, j: int, q: bool) -> None:
-                    at.append(r), cells.append(c), dbs.append(i), qbs.append(j), query.append(q)
-
-                mix = (vec.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).tolist()
-                for r, c in zip(row.tolist(), cell.tolist(), strict=True):
-                    n = split.get((label[r], c), 1)
-                    for i in range(n):
-                        put(r, c, i, mix[r] % n, True)
-                for r, c in enumerate(own.tolist()):
-                    n = split.get((label[r], c), 1)
-                    for j in range(n):
-                        put(r, c, mix[r] % n, j, False)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column(1).take(take), pa.array(cells, pa.int32()), pa.array(dbs, pa.int32()), pa.array(qbs, pa.int32()), pa.array(query), b.column(0).take(take), b.column(2).take(take)], schema=schema)
+                for dims, b in by_length(whole.slice(k, 2000)):
+                    d = indexes[dims].cells(unit(b))
+                    own = d.argmin(1)
+                    least_d = d[np.arange(len(d)), own]
+                    row, cell = np.nonzero(d - least_d[:, None] <= 2 * reach * spans[dims][own] + _SLACK)
+                    vec, label = np.asarray(b.column(0)), b.column(1).to_pylist()
+                    at, cells, dbs, qbs, query = [], [], [], [], []
+
+                    def put(r: int, c: int, i: int, j: int, q: bool) -> None:
+                        at.append(r), cells.append(c), dbs.append(i), qbs.append(j), query.append(q)
+
+                    mix = (vec.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).tolist()
+                    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+                        n = split.get((label[r], dims, c), 1)
+                        for i in range(n):
+                            put(r, c, i, mix[r] % n, True)
+                    for r, c in enumerate(own.tolist()):
+                        n = split.get((label[r], dims, c), 1)
+                        for j in range(n):
+                            put(r, c, mix[r] % n, j, False)
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(take), pa.array(np.full(len(at), dims, np.int32)), pa.array(cells, pa.int32()), pa.array(dbs, pa.int32()), pa.array(qbs, pa.int32()), pa.array(query), b.column(0).take(take), b.column(2).take(take)], schema=schema)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks in turn, their list's points before their queries, which stream."""
         key, points, block = None, [], None
         for b in it:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
-            is_query = np.asarray(b.column(4).to_numpy(zero_copy_only=False), bool)
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+            is_query = np.asarray(b.column(5).to_numpy(zero_copy_only=False), bool)
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or is_query[i] != is_query[i - 1]), len(keys)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if s == e:
@@ -200,7 +205,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
                 if keys[s] != key:
                     key, points, block = keys[s], [], None
                 part = b.slice(s, e - s)
-                v, ids_ = _units(part.column(6)), np.asarray(part.column(5))
+                v, ids_ = _units(part.column(7)), np.asarray(part.column(6))
                 if not is_query[s]:
                     points.append((v, ids_))
                     block = None
@@ -210,11 +215,11 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
                 if block is None:
                     block = np.concatenate([p[0] for p in points]), np.concatenate([p[1] for p in points])
                     points = [block]
-                n, (u, w) = block_links(index, key[1], *block, v, ids_, least)
+                n, (u, w) = block_links(indexes[key[1]], key[2], *block, v, ids_, least)
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids_[some], u])), pa.array(np.concatenate([ids_[some], w])), pa.array(np.concatenate([n[some], np.zeros(len(u), np.int64)]))], names=["u", "v", "n"])
 
-    at = ["label", "cell", "db", "qb"]
+    at = ["label", "dims", "cell", "db", "qb"]
     dealt = fine.select("vec_id", "label", "v").mapInArrow(deal, kind).repartition(parts, *at).sortWithinPartitions(*at, "query")
     found = written(dealt.mapInArrow(compare, "u long, v long, n long"), "vector-links")
     links = found.groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n"))

@@ -366,6 +366,21 @@ def test_vectors_equal_all_pairs(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (link[i].sum(), want[i], want[i] == i)
 
 
+def test_vectors_of_every_length_link(spark):
+    g = np.random.default_rng(3)
+    rows, e = [], []
+    for n, dims in ((50, 16), (30, 5), (2, 3), (1, 7)):
+        base = g.normal(size=(n, dims))
+        e += [v.tolist() for v in (base, base + g.normal(size=base.shape) * 0.02)[: 1 + (n > 1)] for v in v]
+    rows = [(i, v, i % 2) for i, v in enumerate(e)]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3), block_rows=10).collect()}
+    links = [(i, j) for i, v, a in rows for j, w, b in rows if i != j and a == b and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
+    want = union(len(rows), links)
+    assert {len(e[i]) for i, _ in links} == {16, 5, 3}
+    for i, *_ in rows:
+        assert (got[i]["n_links"], got[i]["component_id"]) == (sum(a == i for a, _ in links), want[i])
+
+
 OPERATORS = {
     "simhash": simhash.near_duplicates,
     "media": lambda d: media.media_features(media.encode_media(d)),
