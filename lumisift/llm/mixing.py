@@ -4,7 +4,8 @@ Source token shares p are raised to an exponent a in [0, 1] and normalised. The
 for which no source is repeated more than `max_repetition` times, or to the one at which the weights' entropy meets
 `target_entropy` bits. The budget is such that no source is read less than once, or the one given. A source's
 passes are realised over BLOCKS blocks of its documents: each pass is an affine permutation of the blocks, and a
-partial pass takes the blocks whose running token sum, in that pass's order, stays within what is left.
+partial pass takes, in that pass's order, each block that fits in what is left and passes over the others: it falls
+short of the plan by less than the least block it left out.
 
 Only sums a block and a row a source leave the executors; documents never move. Tokens are runs of other than
 white space; null text has none, a null source is a source of its own, a source without tokens is read once, and
@@ -18,7 +19,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from lumisift.llm.common import table
 
@@ -79,7 +79,7 @@ def _place(source: Column, turn: Column, block: Column, seed: int) -> Column:
 
 
 def plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """A row a source: tokens, weight, repetition, whole passes, and blocks of the partial pass."""
+    """A row a source: tokens, weight, repetition, whole passes, and the places of the partial pass, 64 a word."""
     spark = docs.sparkSession
     rows = docs.select(F.col("source").cast("string").alias("source"), _block("doc_id", seed).alias("block"), _tokens().alias("n"))
     blocks = rows.groupBy("source", "block").agg(F.sum("n").alias("n"))
@@ -96,26 +96,29 @@ def plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_
         data.append((s, n, x, r, math.floor(r), (r - math.floor(r)) * n))
     sources = spark.createDataFrame(data, kind)
     if not any(rest for *_, rest in data):
-        return sources.withColumn("cut", F.lit(0)).drop("rest")
-    # blocks of the partial pass whose running sum stays within the rest: at most BLOCKS rows a source
+        return sources.withColumn("taken", F.array().cast("array<long>")).drop("rest")
+    # the partial pass's blocks in its order, each taken if it fits: at most BLOCKS rows a source
     s = F.col("b.source")
     seen = blocks.alias("b").join(F.broadcast(sources).alias("p") if len(data) <= BROADCAST_SOURCES else sources.alias("p"), s.eqNullSafe(F.col("p.source")))
     seen = seen.select(s.alias("source"), "n", "rest", _place(s, F.col("whole"), F.col("block"), seed).alias("place"))
-    run = seen.withColumn("sum", F.sum("n").over(W.partitionBy("source").orderBy("place")))
-    cut = run.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("sum") > F.col("rest"), F.col("place"))), F.lit(BLOCKS)).alias("cut"))
-    cuts = {r["source"]: r["cut"] for r in cut.collect()}
-    done = [(s, n, x, r, k, cuts.get(s, 0) if rest else 0) for s, n, x, r, k, rest in data]
-    return spark.createDataFrame(done, T.StructType([*kind.fields[:5], T.StructField("cut", T.IntegerType())]))
+    took = F.expr("""aggregate(array_sort(collect_list(struct(place, n))), named_struct('left', max(rest), 'out', cast(array() as array<int>)),
+        (a, x) -> if(x.n <= a.left, named_struct('left', a.left - x.n, 'out', concat(a.out, array(x.place))), a), a -> a.out)""")
+    words = F.expr(f"transform(sequence(0, {BLOCKS // 64 - 1}), w -> aggregate(filter(took, p -> p div 64 = w), 0L, (a, p) -> a | shiftleft(1L, p % 64)))")
+    passes = seen.groupBy("source").agg(took.alias("took")).select("source", words.alias("taken"))
+    taken = {r["source"]: r["taken"] for r in passes.collect()}
+    done = [(s, n, x, r, k, taken[s] if rest else []) for s, n, x, r, k, rest in data]
+    return spark.createDataFrame(done, T.StructType([*kind.fields[:5], T.StructField("taken", T.ArrayType(T.LongType()))]))
 
 
 def mix(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with a column `mixed` (copy, block, place, weight, repetition): a row for each time a document is read."""
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    p = sources.select(F.col("source").alias("_source"), F.struct("weight", "repetition", "whole", "cut").alias("_plan"))
+    p = sources.select(F.col("source").alias("_source"), F.struct("weight", "repetition", "whole", "taken").alias("_plan"))
     own = F.col("source").cast("string")
     joined = docs.join(F.broadcast(p) if few else p, own.eqNullSafe(F.col("_source")))
     block = _block("doc_id", seed)
-    copies = F.col("_plan.whole") + F.when(_place(own, F.col("_plan.whole"), block, seed) < F.col("_plan.cut"), 1).otherwise(0)
+    last = _place(own, F.col("_plan.whole"), block, seed)
+    copies = F.col("_plan.whole") + F.coalesce(F.getbit(F.get("_plan.taken", F.floor(last / 64).cast("int")), last % 64).cast("int"), F.lit(0))
     read = joined.withColumn("_turn", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
     turn = F.col("_turn")
     out = F.struct(turn.alias("copy"), block.alias("block"), _place(own, turn, block, seed).alias("place"), F.col("_plan.weight").alias("weight"), F.col("_plan.repetition").alias("repetition"))

@@ -285,6 +285,26 @@ def test_mixing_reads_every_document_and_fills_the_budget(spark):
         assert p["repetition"] - 0.05 <= read <= p["repetition"] + 1e-9
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_passes_over_blocks_that_do_not_fit(spark, seed):
+    rows = [(i, "w " * (1 + i % 3), "big") for i in range(900)] + [(1000 + i, "w " * (40 if i % 4 == 0 else 1 + i % 2), "few") for i in range(24)] + [(2000, "w " * 50, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget in (2400.0, 3300.0):
+        planned = mixing.plan(df, budget=budget, seed=seed)
+        plan = {r["source"]: r for r in planned.collect()}
+        got = mixing.mix(df, planned, seed).collect()
+        for s, p in plan.items():
+            blocks, times = {}, {}
+            for r in got:
+                if r["source"] == s:
+                    times.setdefault(r["mixed"]["block"], set()).add(r["mixed"]["copy"])
+                    if r["mixed"]["copy"] == 0:
+                        blocks[r["mixed"]["block"]] = blocks.get(r["mixed"]["block"], 0) + len(r["text"].split())
+            assert p["whole"] >= 1 and all(times[b] in (set(range(p["whole"])), set(range(p["whole"] + 1))) for b in blocks)
+            left = p["repetition"] * p["tokens"] - sum(n * len(times[b]) for b, n in blocks.items())
+            assert left >= -1e-6 and all(n > left - 1e-6 for b, n in blocks.items() if len(times[b]) == p["whole"]), (s, left)
+
+
 def test_packing_is_whole_and_dense(docs):
     got = packing.packed(docs.dropDuplicates(["doc_id"]), BYTE).collect()
     by_doc, by_seq = {}, {}
