@@ -438,6 +438,64 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     assert {r["doc_id"] for r in got} == {r[0] for r in fine}
 
 
+def spark_hash(*values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, h)
+    return h
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    some = random.Random(11)
+    toxic = [(i, "you vile scum " + " ".join(some.choices(WORDS, k=30)), "en", "a", 1) for i in range(40)]
+    fine = [[100 + i, " ".join(some.choices([f"t{k}" for k in range(500)], k=40 + i % 30)), "en", "big" if i % 8 else ("mid", "few")[i % 16 == 0], 1] for i in range(160)]
+    for i in range(0, 40, 2):
+        fine[i][1] = f"{'Zorbon' if i < 20 else 'Quillet'} {fine[i][1]} {'+1 234 555 6789' if i < 20 else f'é.x{i}@mail.example'} {('10.0.0.1', '')[i % 4 == 0]}"
+    copies = [(300 + i, fine[i][1], "en", "big", 1) for i in range(5)]
+    spark.createDataFrame(toxic + [tuple(x) for x in fine] + copies, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(x[0], 1, 1) for x in toxic[:30]] + [(x[0], 1, 0) for x in fine[:120]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [*fine, *copies]
+    f = [brute_fingerprint(x[1]) for x in left]
+    root = union(len(f), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 3])
+    left = [x for i, x in enumerate(left) if root[i] == i]
+    clean = {}
+    for x, terms in zip(left, brute_terms([x[1] for x in left]), strict=True):
+        spans = [(int(s), -int(e), f"<{k.upper()}>") for k, s, e in (y.split(":") for y in brute_spans(x[1]))]
+        at, out = 0, ""
+        for s, e, label in sorted(spans + [(s, -e, {"remove": "", "generalise": "<TERM>"}[v]) for s, e, v in terms]):
+            if -e > at:
+                out, at = out + x[1][at:s] + (label if s >= at else ""), -e
+        clean[x[0]] = (out + x[1][at:], x[3])
+    assert sum("<" in t for t, _ in clean.values()) >= 20 and not any("Zorbon" in t or "555" in t for t, _ in clean.values())
+    number = lambda n, size: int(n).to_bytes(size, "little")
+    seed, copies_of = mixing.SEED, {}
+    block = {d: spark_hash(number(d, 8), number(seed, 4)) % mixing.BLOCKS for d in clean}
+    n = {d: len(t.split()) for d, (t, _) in clean.items()}
+    sources = sorted({s for _, s in clean.values()})
+    tokens = [float(sum(n[d] for d in clean if clean[d][1] == s)) for s in sources]
+    w = mixing.weights(tokens, mixing.temper(tokens))
+    for s, total, rep in zip(sources, tokens, mixing.repetitions(tokens, w), strict=True):
+        rep = round(rep, 9)
+        key = (s, number(int(rep), 4), number(seed, 4))
+        odd, shift = spark_hash(*key, "a") % (mixing.BLOCKS // 2) * 2 + 1, spark_hash(*key, "c")
+        rest, own = (rep - int(rep)) * total, [d for d in clean if clean[d][1] == s]
+        for b in sorted({block[d] for d in own}, key=lambda b: (odd * b + shift) % mixing.BLOCKS):
+            held = [d for d in own if block[d] == b]
+            fits = rest > 0 and sum(n[d] for d in held) <= rest
+            rest -= sum(n[d] for d in held) if fits else 0
+            copies_of.update({d: int(rep) + fits for d in held})
+    assert len(set(copies_of.values())) > 1
+    ids = {d: np.array(library_ids(t, 1), "<u4") for d, (t, _) in clean.items()}
+    read = {d: np.zeros(len(x), int) for d, x in ids.items()}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        d, own = r["doc_id"], slice(r["start"], r["start"] + r["length"])
+        assert r["doc_tokens"] == len(ids[d]) and r["ids_crc32"] == zlib.crc32(ids[d][own].tobytes()), d
+        read[d][own] += 1  # copies may be cut at different places
+    assert {d: set(x.tolist()) for d, x in read.items()} == {d: {copies_of[d]} for d in clean}
+
+
 def test_cached_ids_are_the_librarys(monkeypatch):
     from lumisift.llm import ids
 
