@@ -125,6 +125,19 @@ def test_group_confidence_is_the_weakest_link(spark):
     assert groups.groups(df, e, three).count() == 1
 
 
+def test_group_confidence_follows_paths_beyond_twelve_edges(spark):
+    chain = [(i, i + 1, 0.95) for i in range(1, 16)]  # the widest path to 16 has 15 edges
+    links = [*chain, (1, 16, 0.6), (1, 9, 0.7)]
+    want = {i: 1.0 if i == 1 else 0.0 for i in range(1, 17)}
+    for _ in want:
+        for a, b, x in links + [(b, a, x) for a, b, x in links]:
+            want[b] = max(want[b], min(want[a], x))
+    ranked = spark.createDataFrame([(i, 1, i) for i in want], "id long, component long, rank int")
+    e = spark.createDataFrame(links, "a_id long, b_id long, score double")
+    for most in (100, 1):
+        assert {r["id"]: r["confidence"] for r in groups.confidence(ranked, e, most).collect()} == want
+
+
 def test_exact_star_prefers_quality_then_id(spark):
     df = spark.createDataFrame([(i, "active", "", "h", "", "image", float(s)) for i, s in ((1, 5), (2, 9), (3, 9))], "id long, status string, error string, sha256 string, motion_sha256 string, media_type string, sharpness double").withColumns({c: F.lit(1.0) for c in ("luminance", "contrast", "dark_clip", "bright_clip", "entropy", "megapixels")})
     assert {(r["a_id"], r["b_id"], r["recommended_id"]) for r in dedupe.exact_star(df, P.BALANCED).collect()} == {(1, 2, 2), (2, 3, 2)}
