@@ -5,10 +5,14 @@ windows that share a minimiser form a super-k-mer, which travels once, as one pa
 minimiser names. All windows of one word sequence have one minimiser and so meet in one bucket, where sorting the
 windows themselves finds the first (smallest doc_id, then start) and marks the others.
 
-Hot passages: a super-k-mer that a task has already sent from an earlier place is marked on the spot, so a string
-costs at most one row a task however often it occurs (its 128-bit digest stands for it here). Strings travel
-compressed, many to a row. In a bucket only minimisers with two occurrences are opened; occurrences of one
-minimiser are compared window by window with a sort.
+Hot runs: word runs common enough to fill a bucket by themselves are taken last as minimisers, so that windows that
+hold another run spread by that one. They are found on a sample of texts that grows with the number of buckets; the
+sample decides only which bucket a window goes to, never what is a repeat.
+
+Hot passages: a super-k-mer that a task still holds from an earlier place is marked on the spot, string against
+string, so it costs at most one row a flush however often it occurs. Strings travel compressed, many to a row, and a
+bucket is a partition. In a bucket only minimisers with two occurrences are opened; occurrences of one minimiser are
+compared window by window with a sort.
 
 Null text counts as having no words. Rows that share a doc_id and text are one document met twice: neither starts
 earlier, so they lose the same words; texts that differ under one doc_id are told apart by 32 bits of their hash,
@@ -36,9 +40,13 @@ WINDOW = 20
 RUN = 3
 LEVEL = 3
 FLUSH_BYTES = 32 << 20
-SEEN = 300_000
-WORDS_HELD = 300_000
+WORDS_HELD = 200_000
+ROWS_AT_ONCE = 500
+SAMPLE_TEXTS = 2_000  # for hot runs; or SAMPLE_A_BUCKET for each bucket, if more
+SAMPLE_A_BUCKET = 16
+HOT_RUNS = 65_536
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.uint64(1 << 63)
 _HEAD = np.dtype([("mini", "<u8"), ("doc", "<i8"), ("own", "<u4"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4")])
 _OFTEN = 1 << 31  # in windows: the minimiser occurs more than once
 
@@ -68,14 +76,24 @@ def _worker_words() -> Words:
     return Words()
 
 
-def super_kmers(h: np.ndarray, k: int = WINDOW, m: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's word hashes: minimiser, first window and number of windows of each super-k-mer, and whether its minimiser occurs in it more than once."""
-    n = len(h) - k + 1
+def runs_of(h: np.ndarray, m: int = RUN) -> np.ndarray:
+    """63-bit hashes of the runs of m words, from the words' hashes."""
     g = h.copy()
-    for _ in range(m - 1):  # runs of m words, mixed
+    for _ in range(m - 1):
         g = (g[:-1] ^ (g[:-1] >> np.uint64(29))) * _ODD + h[len(h) - len(g) + 1 :]
     g = (g ^ (g >> np.uint64(32))) * _ODD
-    g ^= g >> np.uint64(29)
+    return (g ^ (g >> np.uint64(29))) >> np.uint64(1)
+
+
+def super_kmers(
+    h: np.ndarray, k: int = WINDOW, m: int = RUN, hot: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, first window and number of windows of each super-k-mer of a document's word hashes, and whether
+    its minimiser occurs in it more than once. Runs in hot (ascending) come after all others."""
+    n = len(h) - k + 1
+    g = runs_of(h, m)
+    if hot is not None and len(hot):
+        g = np.where(hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g, g | _LAST, g)
     width, low, span = k - m + 1, g, 1
     while span < width:  # smallest of each width runs, by doubling
         step = min(span, width - span)
@@ -147,11 +165,36 @@ _OUT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("own", pa.int
 _NONE = -(1 << 63)
 
 
-def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> DataFrame:
+def hot_runs(rows: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> np.ndarray:
+    """Runs (ascending, at most HOT_RUNS) that could hold half a bucket's fair share of all windows, by a sample of rows (text)."""
+    texts = rows.select("text")
+    fraction = max(SAMPLE_TEXTS, SAMPLE_A_BUCKET * buckets) / max(1, texts.count())
+    if fraction < 1:
+        texts = texts.sample(fraction, seed=1)
+    schema = pa.schema([("run", pa.int64()), ("n", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = _worker_words()
+        for whole in it:
+            for b in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                lists = [w for t in b.column(0).cast(pa.binary()).to_pylist() if t and len(w := t.split()) >= k]
+                if lists:
+                    run_, n = np.unique(np.concatenate([runs_of(words_of.hashes(w), m) for w in lists]), return_counts=True)
+                    all_ = [pa.array([None, *run_.view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n.tolist()], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(all_, schema=schema)
+
+    counts = texts.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    most = counts.orderBy(F.desc("n"), F.asc_nulls_first("run")).limit(HOT_RUNS + 1).collect()  # the null row, all runs, is first
+    least = max(8, most[0]["n"] / (2 * (k - m + 1) * buckets)) if most else 0
+    return np.array(sorted(r["run"] for r in most if r["run"] is not None and r["n"] >= least), np.uint64)
+
+
+def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN, hot: np.ndarray | None = None) -> DataFrame:
     """Rows (bucket, blob) of packed super-k-mers, and rows (doc_id, own, spans) of what a task could mark itself."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, seen, press = _worker_words(), {}, zstandard.ZstdCompressor(level=LEVEL)
+        words_of, press = _worker_words(), zstandard.ZstdCompressor(level=LEVEL)
+        seen: dict[bytes, tuple[int, int, int]] = {}  # the strings held now and the first place of each
         heads: list[list[bytes]] = [[] for _ in range(buckets)]
         texts: list[list[bytes]] = [[] for _ in range(buckets)]
         size = 0
@@ -159,45 +202,48 @@ def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> Dat
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             own = [i for i in range(buckets) if heads[i]]
-            for part in (own[i : i + 64] for i in range(0, len(own), 64)):
+            seen.clear()
+            for part in (own[i : i + 16] for i in range(0, len(own), 16)):
                 blobs = [press.compress(_columns(heads[i]) + b"".join(texts[i])) for i in part]
+                for i in part:
+                    heads[i], texts[i] = [], []
                 none = [None] * len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((part, none, none, none, blobs), _OUT, strict=True)], schema=_OUT)
-            for i in own:
-                heads[i], texts[i] = [], []
             size = 0
 
-        for b in it:
-            local: dict[tuple[int, int], list[int]] = {}
-            for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = (text or b"").split()
-                if len(words) < k:
-                    continue
-                doc = _NONE if doc is None else doc
-                packed = b" ".join(words)
-                edge = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                minis, firsts, counts, often = super_kmers(words_of.hashes(words), k, m)
-                s, e = (edge[firsts] - [len(words[i]) + 1 for i in firsts.tolist()]).tolist(), (edge[firsts + counts + k - 2] - 1).tolist()
-                head = np.zeros(len(minis), _HEAD)
-                head["mini"], head["doc"], head["own"], head["start"], head["windows"], head["size"] = minis, doc, own, firsts, counts | np.where(often, _OFTEN, 0), np.array(e) - np.array(s)
-                raw, wide = head.tobytes(), _HEAD.itemsize
-                for i, (to, f, x, y) in enumerate(zip((minis % np.uint64(buckets)).tolist(), firsts.tolist(), s, e, strict=True)):
-                    t = packed[x:y]
-                    key, place = xxhash.xxh3_128_digest(t), (doc, f)
-                    was = seen.get(key)
-                    if was is not None and was < place:
-                        local.setdefault((doc, own), []).extend(range(f, f + int(counts[i])))
+        for whole in it:
+            for b in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                local: dict[tuple[int, int], list[int]] = {}
+                for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    words = (text or b"").split()
+                    if len(words) < k:
                         continue
-                    if was is not None or len(seen) < SEEN:
-                        seen[key] = place
-                    heads[to].append(raw[i * wide : (i + 1) * wide])
-                    texts[to].append(t)
-                    size += len(t) + wide
-                if size > FLUSH_BYTES:
-                    yield from flush()
-            if local:
-                rows = [((d ^ o) % buckets, None if d == _NONE else d, o, np.array(_spans(at, k), "<u4").tobytes(), None) for (d, o), at in local.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
+                    doc = _NONE if doc is None else doc
+                    packed = b" ".join(words)
+                    edge = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    minis, firsts, counts, often = super_kmers(words_of.hashes(words), k, m, hot)
+                    s, e = (edge[firsts] - [len(words[i]) + 1 for i in firsts.tolist()]).tolist(), (edge[firsts + counts + k - 2] - 1).tolist()
+                    head = np.zeros(len(minis), _HEAD)
+                    head["mini"], head["doc"], head["own"], head["start"] = minis, doc, own, firsts
+                    head["windows"], head["size"] = counts | np.where(often, _OFTEN, 0), np.array(e) - np.array(s)
+                    raw, wide = head.tobytes(), _HEAD.itemsize
+                    for i, (to, f, x, y) in enumerate(zip((minis % np.uint64(buckets)).tolist(), firsts.tolist(), s, e, strict=True)):
+                        t = packed[x:y]
+                        was = seen.get(t)
+                        if was is not None and was < (doc, f):
+                            local.setdefault((doc, own), []).extend(range(f, f + int(counts[i])))
+                            continue
+                        if was == (doc, f, own):  # a row met twice
+                            continue
+                        seen[t] = (doc, f, own)
+                        heads[to].append(raw[i * wide : (i + 1) * wide])
+                        texts[to].append(t)
+                        size += len(t) + wide
+                    if size > FLUSH_BYTES:
+                        yield from flush()
+                if local:
+                    rows = [((d ^ o) % buckets, None if d == _NONE else d, o, np.array(_spans(at, k), "<u4").tobytes(), None) for (d, o), at in local.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
         yield from flush()
 
     return docs.mapInArrow(run, OUT)
@@ -209,11 +255,12 @@ def gather(rows: DataFrame, buckets: int, k: int = WINDOW) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        heads, texts, held, bucket = [], [], 0, None
+        heads, texts = [], []
 
         def mark() -> Iterator[pa.RecordBatch]:
             head = np.concatenate(heads)
             data = b"".join(texts)
+            heads.clear(), texts.clear()
             ends = np.cumsum(head["size"].astype(np.int64))
             order = np.argsort(head["mini"], kind="stable")
             mini = head["mini"][order]
@@ -236,21 +283,15 @@ def gather(rows: DataFrame, buckets: int, k: int = WINDOW) -> DataFrame:
             done = b.filter(pc.is_valid(b.column("spans")))
             if done.num_rows:
                 yield pa.RecordBatch.from_arrays([done.column(n) for n in schema.names], schema=schema)
-            b = b.filter(pc.is_valid(b.column("blob")))
-            for at, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if at != bucket and heads:
-                    yield from mark()
-                    heads, texts, held = [], [], 0
-                bucket = at
-                raw = press.decompress(blob)
+            for blob in b.column("blob").drop_null():
+                raw = press.decompress(blob.as_buffer())
                 head, after = _heads(raw)
                 heads.append(head)
                 texts.append(raw[after:])
-                held += len(raw)
         if heads:
             yield from mark()
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, own long, spans binary")
+    return rows.repartitionById(buckets, "bucket").mapInArrow(run, "doc_id long, own long, spans binary")
 
 
 def cut_words(words: list[bytes], spans: list[bytes]) -> list[bytes]:
@@ -267,7 +308,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = RUN, with_text: b
     """(doc_id, n_words, n_removed, kept_sha256), and the kept text if asked for, of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("xxhash64(coalesce(cast(text as string), '')) & 4294967295").alias("own"), F.col("text").cast("string").alias("text"))
     buckets = partitions_for(docs)
-    marked = gather(scatter(rows, buckets, k, m), buckets, k)
+    marked = gather(scatter(rows, buckets, k, m, hot_runs(rows, buckets, k, m)), buckets, k)
     spans = marked.groupBy("doc_id", "own").agg(F.collect_list("spans").alias("spans"))  # one document's, bounded by its length
     joined = rows.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.own") == F.col("s.own")), "left").select("d.doc_id", "d.text", "s.spans")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
