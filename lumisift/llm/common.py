@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumisift.operators.graph import components, discard, shared_dir, written
 
-__all__ = ["components", "discard", "forest", "partitions_for", "shared_dir", "table", "texts_as_bytes", "written"]
+__all__ = ["by_id", "components", "discard", "forest", "partitions_for", "shared_dir", "table", "texts_as_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,13 @@ def partitions_for(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions(), 1)
 
 
+def by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ascending order over the partitions, nulls first; rows of one id are dealt by their text's hash."""
+    tie = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.repartitionByRange(partitions_for(docs), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

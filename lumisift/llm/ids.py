@@ -2,19 +2,24 @@
 
 The tokenizer splits a text into pieces and encodes each by itself, so a text's ids are its pieces' ids in turn.
 Pieces new to a worker are encoded by the tokenizers library, many in one call with line feeds between them (no
-other piece holds the line feed's id), and kept up to a bound. Texts with special strings, or with characters
-for which Python's pattern engine might split otherwise, go through the library whole.
+other piece holds the line feed's id), and kept up to a bound of pieces, long ones left out. Texts with special
+strings, or with characters for which Python's pattern engine might split otherwise, go through the library whole.
+A call takes texts of about TEXT_CHARS characters, whatever the batch they come in.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
+LONGEST_KEPT = 48
+TEXTS_AT_ONCE, TEXT_CHARS = 1000, 2_000_000
 _CALL = 4096
 
 
@@ -82,10 +87,11 @@ class Encoder:
             x += new[p]
         out = [self._one(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
         room = CACHE_PIECES - (len(held) - len(fresh))
-        for i, p in enumerate(fresh):
-            if i < room:
+        for p in fresh:
+            if room > 0 and len(p) <= LONGEST_KEPT:
                 held[p] = new[p]
-            else:  # beyond the bound, only for this call
+                room -= 1
+            else:  # beyond the bounds, only for this call
                 del held[p]
         return out
 
@@ -96,5 +102,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def texts_of(column) -> list[str]:  # noqa: ANN001
+def groups_of(batch: pa.RecordBatch, text: int, most: int = TEXTS_AT_ONCE, chars: int = TEXT_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts, in column `text`, have together at most about so many characters; one at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(total, (total[at - 1] if at else 0) + chars, "right"))
+        to = min(max(to, at + 1), at + most, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]

@@ -10,7 +10,7 @@ the byte at which each block starts, so any block can be read by itself.
   block: u32 minimum | u8 width | u16 exceptions | packed words u64[16 * width] | u16 position[] | u32 value[]
 
 Shards are rows of a Parquet table in the shared folder, so a lost task's files never count. Documents are in
-ascending doc_id order (nulls first, ties by text); null text counts as empty and still has its end id. Other
+ascending doc_id order (nulls first, ties by the text's hash); null text counts as empty and still has its end id. Other
 columns are ignored.
 """
 
@@ -26,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import partitions_for, table, written
-from lumisift.llm.ids import encoder, texts_of
+from lumisift.llm.common import by_id, table, written
+from lumisift.llm.ids import encoder, groups_of, texts_of
 
 BLOCK, LANES = 1024, 16
+BLOCKS_AT_ONCE = 128
 PERCENTILE = 0.98
 SHARD_IDS = 1 << 20
 END_ID = 2
@@ -63,9 +64,12 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def encode_blocks(values: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
-    """Each block of uint32 values; the last is filled up with its own first value."""
-    if not len(values):
-        return []
+    """Each block of uint32 values, BLOCKS_AT_ONCE in a step; the last is filled up with its own first value."""
+    step = BLOCK * BLOCKS_AT_ONCE
+    return [x for i in range(0, len(values), step) for x in _encode_blocks(values[i : i + step], percentile)]
+
+
+def _encode_blocks(values: np.ndarray, percentile: float) -> list[bytes]:
     n = -(-len(values) // BLOCK)
     fill = np.full(n * BLOCK, values[(n - 1) * BLOCK], np.uint32)
     fill[: len(values)] = values
@@ -118,8 +122,8 @@ def encode_shard(doc_ids: list[int | None], ids: list[bytes], percentile: float
     return head + docs + starts.astype("<u8").tobytes() + b"".join(blocks)
 
 
-def decode_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, their lengths, and all values."""
+def _head(data: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndarray]:
+    """Document ids, their lengths, the number of values, and the byte at which each block starts."""
     magic, docs, values, blocks, _ = struct.unpack_from("<4sIQII", data)
     if magic != b"PFR1":
         raise ValueError("not a shard")
@@ -131,7 +135,27 @@ def decode_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     lengths = np.frombuffer(data, "<u4", docs, at).astype(np.int64)
     at += 4 * docs
     starts = np.frombuffer(data, "<u8", blocks, at).astype(np.int64) + at + 8 * blocks
-    return [None if n else d for d, n in zip(doc_ids, null, strict=True)], lengths, decode_blocks(data, starts)[:values]
+    return [None if n else d for d, n in zip(doc_ids, null, strict=True)], lengths, values, starts
+
+
+def decode_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, their lengths, and all values."""
+    doc_ids, lengths, values, starts = _head(data)
+    steps = range(0, len(starts), BLOCKS_AT_ONCE)
+    blocks = [decode_blocks(data, starts[i : i + BLOCKS_AT_ONCE]) for i in steps]
+    return doc_ids, lengths, np.concatenate(blocks)[:values] if blocks else np.empty(0, np.uint32)
+
+
+def read_document(data: bytes, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each row of one document, by the block starts: only the blocks that hold them are decoded."""
+    doc_ids, lengths, _, starts = _head(data)
+    ends = np.cumsum(lengths)
+    out = []
+    for i in (i for i, d in enumerate(doc_ids) if d == doc_id):
+        s, e = int(ends[i] - lengths[i]), int(ends[i])
+        first = s // BLOCK
+        out.append(decode_blocks(data, starts[first : -(-e // BLOCK)])[s - first * BLOCK : e - first * BLOCK] if e > s else np.empty(0, np.uint32))
+    return out
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -146,10 +170,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, seq, before, size, encode_shard(held_ids, held)), schema, strict=True)], schema=schema)
 
-        for b in it:
-            texts, doc_ids = texts_of(b.column(1)), b.column(0).to_pylist()
-            for k in range(0, len(texts), 1000):
-                for d, x in zip(doc_ids[k : k + 1000], encode(texts[k : k + 1000]), strict=True):
+        for whole in it:
+            for b in groups_of(whole, 1):
+                for d, x in zip(b.column(0).to_pylist(), encode(texts_of(b.column(1))), strict=True):
                     held_ids.append(d)
                     held.append(x + end)
                     size += len(x) // 4 + 1
@@ -160,9 +183,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, seq int, before long, n_ids long, shard binary"), "ids")
+    return written(by_id(docs).mapInArrow(run, "part int, seq int, before long, n_ids long, shard binary"), "ids")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

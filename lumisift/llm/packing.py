@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lumisift.llm.common import partitions_for, table
-from lumisift.llm.ids import encoder, texts_of
+from lumisift.llm.common import by_id, table
+from lumisift.llm.ids import encoder, groups_of, texts_of
 
 WIDTH = 2048
 END_ID = 1
@@ -136,10 +135,9 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH,
             own = pa.array(doc_ids, pa.int64()).take(pa.array(d))
             return pa.RecordBatch.from_arrays([own, *map(pa.array, (s, n, crc, tokens, q + base, o))], schema=schema), int(q[-1]) + 1
 
-        for b in it:
-            texts, own = texts_of(b.column(1)), b.column(0).to_pylist()
-            for k in range(0, len(texts), 1000):
-                for d, x in zip(own[k : k + 1000], encode(texts[k : k + 1000]), strict=True):
+        for whole in it:
+            for b in groups_of(whole, 1):
+                for d, x in zip(b.column(0).to_pylist(), encode(texts_of(b.column(1))), strict=True):
                     doc_ids.append(d)
                     held.append(x + end)
                     size += len(x) // 4 + 1
@@ -151,9 +149,7 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH,
         if held:
             yield flush()[0]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SCHEMA)
+    return by_id(docs).mapInArrow(run, SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,16 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.common import table
+from lumisift.llm.ids import groups_of, texts_of
 
 LIMIT = 2048
 CACHE_WORDS = 400_000
@@ -103,21 +106,29 @@ class Counter:
         return total
 
     def count(self, text: str) -> int:
-        if self.special is None or "<" not in text:
+        if self.special is None or not self.special.search(text):
             return self.segment(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.segment, parts))
 
 
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """One a worker process, whose tasks share it."""
+    return Counter(path)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
-        for b in it:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(counter.count, texts), pa.int64())], schema=schema)
+        count = counter(path).count
+        for whole in it:
+            for b in groups_of(whole, 1):
+                texts = texts_of(b.column(1))
+                sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(map(count, texts), pa.int64())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
