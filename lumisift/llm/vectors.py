@@ -10,9 +10,13 @@ d + e. Both bounds are necessary conditions, so recall is 1; what stays is reran
 precision. Lists split into blocks of BLOCK_ROWS meet block by block, and a block pair returns counts a query and a
 spanning forest of its links, never the pairs.
 
+Equal vectors of a label are one point of the index, whose links count as often as it occurs, so a group of copies
+costs as much as one vector.
+
 Vectors that are null, zero, or hold null or non-finite components, and rows with null label, link with nothing;
-lengths may differ: each has its own index, and vectors are compared within their label and length. Rows that share a vec_id count as one vector, their smallest (label,
-embedding); each row is returned. A null vec_id has n_links 0 and component null. Other columns are ignored.
+lengths may differ: each has its own index, and vectors are compared within their label and length. Rows that share a
+vec_id count as one vector, their smallest (label, embedding); each row is returned. A null vec_id has n_links 0 and
+component null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,15 +96,23 @@ def _units(column: pa.Array) -> np.ndarray:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, v): a row a vec_id, only vectors that can link, components as doubles."""
+    """(vec_id, label, v): a row a vec_id, only vectors that can link, components as doubles.
+
+    Vectors whose squares would leave the range of doubles are scaled by a power of two, which changes no digit.
+    """
     one = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     one = one.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
-    fine = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) <= 1e150) and exists(v, x -> abs(x) >= 1e-150)"
-    return one.where(fine).withColumn("label", F.col("label").cast("string"))
+    finite = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    one = one.where(finite).withColumn("most", F.expr("array_max(transform(v, x -> abs(x)))")).where("most > 0")
+    scale = "pow(2D, greatest(-1000, least(1000, -floor(log2(most)))))"
+    v = F.expr(f"if(most between 1e-140 and 1e140, v, zip_with(v, array_repeat({scale}, size(v)), (x, s) -> x * s))")
+    return one.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"))
 
 
-def block_links(index: Index, cell: int, dv: np.ndarray, did: np.ndarray, qv: np.ndarray, qid: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Links of each query in a block of a list, and a spanning forest of them."""
+def block_links(
+    index: Index, cell: int, dv: np.ndarray, did: np.ndarray, dn: np.ndarray, qv: np.ndarray, qid: np.ndarray, least: float = LEAST
+) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Links of each query to a block of a list whose points occur dn times, and a spanning forest of them."""
     reach = np.sqrt(2 - 2 * least)
     du, qu = dv / np.linalg.norm(dv, axis=1)[:, None], qv / np.linalg.norm(qv, axis=1)[:, None]
     code, left = index.codes(du - index.coarse[cell])
@@ -119,7 +131,7 @@ def block_links(index: Index, cell: int, dv: np.ndarray, did: np.ndarray, qv: np
             a, b = qv[s + i], dv[j]
             cos = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             ok = (cos >= least) & (qid[s + i] != did[j])
-            np.add.at(count, s + i[ok], 1)
+            np.add.at(count, s + i[ok], dn[j[ok]])
             us.append(qid[s + i[ok]])
             vs.append(did[j[ok]])
             held += int(ok.sum())
@@ -132,16 +144,14 @@ def block_links(index: Index, cell: int, dv: np.ndarray, did: np.ndarray, qv: np
 def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
-    none = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     parts = partitions_for(rows)
-    fine = written(usable(rows), "vectors")
-    indexes: dict[int, Index] = {}  # one a length; a vector alone in its length links with nothing
+    every = written(usable(rows), "vectors")
+    fine = written(every.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("m")).select("vec_id", "label", "v", "m"), "points")
+    indexes: dict[int, Index] = {}  # one a length; a point alone in its length links only with its copies
     for dims, total in fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect():
         sample = fine.where(F.size("v") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks()
         x = _units(sample)
         indexes[dims] = fit(x / np.linalg.norm(x, axis=1)[:, None], lists or int(np.clip(np.sqrt(total) / 4, 4, 1024)))
-    if not indexes:
-        return none
     reach = np.sqrt(2 - 2 * least) + _SLACK
     spans = {dims: np.sqrt(_square(i.coarse, i.coarse)) for dims, i in indexes.items()}
 
@@ -163,8 +173,8 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
     counts = fine.select("vec_id", "label", "v").mapInArrow(place, "label string, dims int, cell int").groupBy("label", "dims", "cell").count()
     # lists that need more than one block: at most rows / block_rows of them
     split = {(r["label"], r["dims"], r["cell"]): -(-r["count"] // block_rows) for r in counts.where(F.col("count") > block_rows).collect()}
-    kind = "label string, dims int, cell int, db int, qb int, query boolean, vec_id long, v array<double>"
-    schema = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("cell", pa.int32()), ("db", pa.int32()), ("qb", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    kind = "label string, dims int, cell int, db int, qb int, query boolean, vec_id long, v array<double>, m long"
+    schema = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("cell", pa.int32()), ("db", pa.int32()), ("qb", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("m", pa.int64())])
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -190,7 +200,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
                         for j in range(n):
                             put(r, c, mix[r] % n, j, False)
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([b.column(1).take(take), pa.array(np.full(len(at), dims, np.int32)), pa.array(cells, pa.int32()), pa.array(dbs, pa.int32()), pa.array(qbs, pa.int32()), pa.array(query), b.column(0).take(take), b.column(2).take(take)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(take), pa.array(np.full(len(at), dims, np.int32)), pa.array(cells, pa.int32()), pa.array(dbs, pa.int32()), pa.array(qbs, pa.int32()), pa.array(query), b.column(0).take(take), b.column(2).take(take), b.column(3).take(take)], schema=schema)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks in turn, their list's points before their queries, which stream."""
@@ -207,25 +217,32 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
                 part = b.slice(s, e - s)
                 v, ids_ = _units(part.column(7)), np.asarray(part.column(6))
                 if not is_query[s]:
-                    points.append((v, ids_))
+                    points.append((v, ids_, np.asarray(part.column(8))))
                     block = None
                     continue
                 if not points:
                     continue
                 if block is None:
-                    block = np.concatenate([p[0] for p in points]), np.concatenate([p[1] for p in points])
+                    block = tuple(np.concatenate([p[i] for p in points]) for i in range(3))
                     points = [block]
                 n, (u, w) = block_links(indexes[key[1]], key[2], *block, v, ids_, least)
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids_[some], u])), pa.array(np.concatenate([ids_[some], w])), pa.array(np.concatenate([n[some], np.zeros(len(u), np.int64)]))], names=["u", "v", "n"])
 
     at = ["label", "dims", "cell", "db", "qb"]
-    dealt = fine.select("vec_id", "label", "v").mapInArrow(deal, kind).repartition(parts, *at).sortWithinPartitions(*at, "query")
+    dealt = fine.select("vec_id", "label", "v", "m").mapInArrow(deal, kind).repartition(parts, *at).sortWithinPartitions(*at, "query")
     found = written(dealt.mapInArrow(compare, "u long, v long, n long"), "vector-links")
-    links = found.groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n"))
-    near = components(found.where("u <> v").select("u", "v"), "vectors")
-    out = ids.join(links, "vec_id", "left").join(near, F.col("vec_id") == F.col("node"), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    links = found.groupBy(F.col("u").alias("point")).agg(F.sum("n").alias("n"))
+    near = components(found.where("u <> v").select("u", "v"), "vectors").withColumnRenamed("node", "point")
+    point = F.col("vec_id").alias("point")
+    named = fine.select(point, "m").join(links, "point", "left").join(near, "point", "left")
+    named = written(named.select("point", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "point").alias("component"), "m"), "vector-points")
+    copies = every.join(fine.where("m > 1").select(point, "label", "v"), ["label", "v"]).select("vec_id", "point").where("vec_id <> point")
+    known = copies.join(named.where("m > 1").select("point", "n", "component"), "point").select("vec_id", "n", "component")
+    known = known.union(named.where("m > 1 or n > 0").select("point", "n", "component"))
+    out = ids.join(known, "vec_id", "left")
+    kept = F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), kept.alias("kept"))
 
 
 def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
