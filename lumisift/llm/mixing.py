@@ -7,9 +7,11 @@ passes are realised over BLOCKS blocks of its documents: each pass is an affine
 partial pass takes, in that pass's order, each block that fits in what is left and passes over the others: it falls
 short of the plan by less than the least block it left out.
 
-Only sums a block and a row a source leave the executors; documents never move. Tokens are runs of other than
-white space; null text has none, a null source is a source of its own, a source without tokens is read once, and
-rows that share a doc_id share a block. Other columns are kept by mix() as they are.
+Only sums a block and a row a source leave the executors, and the texts are read once; documents never move. Tokens
+are runs of other than white space; null text has none, a null source is a source of its own, a source without tokens
+is read once, and rows that share a doc_id share a block. Tied blocks cannot occur: a pass gives each its own place.
+Other columns are kept by mix() as they are, but one named `mixed` gives way to the new one. An empty table gives an
+empty plan and no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisift.llm.common import table
+from lumisift.llm.common import discard, table, written
 
 BLOCKS = 1024
 MAX_REPETITION = 2.0
@@ -78,53 +80,62 @@ def _place(source: Column, turn: Column, block: Column, seed: int) -> Column:
     return F.pmod(odd * block + F.pmod(F.xxhash64(source, turn, F.lit(seed), F.lit("c")), F.lit(BLOCKS)), F.lit(BLOCKS)).cast("int")
 
 
-def plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """A row a source: tokens, weight, repetition, whole passes, and the places of the partial pass, 64 a word."""
+_PLAN = T.StructType([
+    T.StructField("source", T.StringType()), T.StructField("tokens", T.DoubleType()), T.StructField("weight", T.DoubleType()),
+    T.StructField("repetition", T.DoubleType()), T.StructField("realised", T.DoubleType()), T.StructField("whole", T.IntegerType()),
+    T.StructField("taken", T.ArrayType(T.LongType())),
+])
+
+
+def plan(
+    docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED
+) -> DataFrame:
+    """A row a source: tokens, weight, repetition planned and realised, whole passes, and the places of the partial
+    pass, 64 a word."""
     spark = docs.sparkSession
     rows = docs.select(F.col("source").cast("string").alias("source"), _block("doc_id", seed).alias("block"), _tokens().alias("n"))
-    blocks = rows.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    blocks = written(rows.groupBy("source", "block").agg(F.sum("n").alias("n")), "mixing-blocks")
     sums = blocks.groupBy("source").agg(F.sum("n").alias("n"))
     found = sorted(((r["source"], float(r["n"])) for r in sums.collect()), key=lambda x: (x[0] is not None, x[0]))
     tokens = [n for _, n in found]
-    a = temper(tokens, max_repetition, target_entropy)
-    w = weights(tokens, a) if any(tokens) else [0.0] * len(tokens)
-    rep = repetitions(tokens, w, budget) if any(tokens) else [1.0] * len(tokens)
-    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("tokens", T.DoubleType()), T.StructField("weight", T.DoubleType()), T.StructField("repetition", T.DoubleType()), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType())])
+    w = weights(tokens, temper(tokens, max_repetition, target_entropy)) if any(tokens) else [0.0] * len(tokens)
+    rep = [round(r, 9) for r in repetitions(tokens, w, budget)] if any(tokens) else [1.0] * len(tokens)
+    rest = [(r - math.floor(r)) * n for r, n in zip(rep, tokens, strict=True)]
+    took: dict[str | None, tuple[list[int], float]] = {}
+    if any(rest):
+        # the partial pass's blocks in its order, each taken if it fits: at most BLOCKS rows a source
+        few = spark.createDataFrame([(s, math.floor(r), x) for (s, _), r, x in zip(found, rep, rest, strict=True)], "source string, whole int, rest double")
+        s = F.col("b.source")
+        seen = blocks.alias("b").join(F.broadcast(few).alias("p") if len(found) <= BROADCAST_SOURCES else few.alias("p"), s.eqNullSafe(F.col("p.source")))
+        seen = seen.select(s.alias("source"), "n", "rest", _place(s, F.col("whole"), F.col("block"), seed).alias("place"))
+        fits = F.expr("""aggregate(array_sort(collect_list(struct(place, n))), named_struct('left', max(rest), 'out', cast(array() as array<int>)),
+            (a, x) -> if(x.n <= a.left, named_struct('left', a.left - x.n, 'out', concat(a.out, array(x.place))), a))""")
+        words = F.expr(f"transform(sequence(0, {BLOCKS // 64 - 1}), w -> aggregate(filter(fits.out, p -> p div 64 = w), 0L, (a, p) -> a | shiftleft(1L, p % 64)))")
+        passes = seen.groupBy("source").agg(fits.alias("fits")).select("source", words.alias("taken"), "fits.left")
+        took = {r["source"]: (r["taken"], r["left"]) for r in passes.collect()}
+    discard(blocks)
     data = []
-    for (s, n), x, r in zip(found, w, rep, strict=True):
-        r = round(r, 9)
-        data.append((s, n, x, r, math.floor(r), (r - math.floor(r)) * n))
-    sources = spark.createDataFrame(data, kind)
-    if not any(rest for *_, rest in data):
-        return sources.withColumn("taken", F.array().cast("array<long>")).drop("rest")
-    # the partial pass's blocks in its order, each taken if it fits: at most BLOCKS rows a source
-    s = F.col("b.source")
-    seen = blocks.alias("b").join(F.broadcast(sources).alias("p") if len(data) <= BROADCAST_SOURCES else sources.alias("p"), s.eqNullSafe(F.col("p.source")))
-    seen = seen.select(s.alias("source"), "n", "rest", _place(s, F.col("whole"), F.col("block"), seed).alias("place"))
-    took = F.expr("""aggregate(array_sort(collect_list(struct(place, n))), named_struct('left', max(rest), 'out', cast(array() as array<int>)),
-        (a, x) -> if(x.n <= a.left, named_struct('left', a.left - x.n, 'out', concat(a.out, array(x.place))), a), a -> a.out)""")
-    words = F.expr(f"transform(sequence(0, {BLOCKS // 64 - 1}), w -> aggregate(filter(took, p -> p div 64 = w), 0L, (a, p) -> a | shiftleft(1L, p % 64)))")
-    passes = seen.groupBy("source").agg(took.alias("took")).select("source", words.alias("taken"))
-    taken = {r["source"]: r["taken"] for r in passes.collect()}
-    done = [(s, n, x, r, k, taken[s] if rest else []) for s, n, x, r, k, rest in data]
-    return spark.createDataFrame(done, T.StructType([*kind.fields[:5], T.StructField("taken", T.ArrayType(T.LongType()))]))
+    for (s, n), x, r, more in zip(found, w, rep, rest, strict=True):
+        taken, left = took[s] if more else ([], 0.0)
+        data.append((s, n, x, r, (math.floor(r) * n + more - left) / n if n else r, math.floor(r), taken))
+    return spark.createDataFrame(data, _PLAN)
 
 
 def mix(docs: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with a column `mixed` (copy, block, place, weight, repetition): a row for each time a document is read."""
+    """docs with a column `mixed` (copy, block, place, weight, repetition, realised): a row for each time a document is read."""
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    p = sources.select(F.col("source").alias("_source"), F.struct("weight", "repetition", "whole", "taken").alias("_plan"))
-    own = F.col("source").cast("string")
-    joined = docs.join(F.broadcast(p) if few else p, own.eqNullSafe(F.col("_source")))
-    block = _block("doc_id", seed)
-    last = _place(own, F.col("_plan.whole"), block, seed)
-    copies = F.col("_plan.whole") + F.coalesce(F.getbit(F.get("_plan.taken", F.floor(last / 64).cast("int")), last % 64).cast("int"), F.lit(0))
-    read = joined.withColumn("_turn", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    turn = F.col("_turn")
-    out = F.struct(turn.alias("copy"), block.alias("block"), _place(own, turn, block, seed).alias("place"), F.col("_plan.weight").alias("weight"), F.col("_plan.repetition").alias("repetition"))
-    return read.select(*[docs[c] for c in docs.columns], out.alias("mixed"))
+    p = sources.select(F.col("source").alias("of"), F.struct("weight", "repetition", "realised", "whole", "taken").alias("plan"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("own"), _block("doc_id", seed).alias("block"))
+    joined = rows.join(F.broadcast(p) if few else p, F.col("own").eqNullSafe(F.col("of")))
+    last = _place(F.col("own"), F.col("plan.whole"), F.col("block"), seed)
+    copies = F.col("plan.whole") + F.coalesce(F.getbit(F.get("plan.taken", F.floor(last / 64).cast("int")), last % 64).cast("int"), F.lit(0))
+    read = joined.withColumn("turn", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
+    place = _place(F.col("own"), F.col("turn"), F.col("block"), seed)
+    out = F.struct(F.col("turn").alias("copy"), "block", place.alias("place"), *(F.col(f"plan.{c}").alias(c) for c in ("weight", "repetition", "realised")))
+    return read.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "mixed"], out.alias("mixed"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs.select("doc_id", "source"), plan(docs)).select("doc_id", "source", "mixed.copy", "mixed.block", "mixed.place", F.round("mixed.weight", 9).alias("weight"), F.round("mixed.repetition", 9).alias("repetition"))
+    read = mix(docs.select("doc_id", "source"), plan(docs))
+    return read.select("doc_id", "source", "mixed.copy", "mixed.block", "mixed.place", F.round("mixed.weight", 9).alias("weight"), F.round("mixed.repetition", 9).alias("repetition"), F.round("mixed.realised", 9).alias("realised"))

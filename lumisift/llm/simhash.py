@@ -30,6 +30,7 @@ SHINGLE = 3
 RADIUS = 3
 TILE_ROWS = 65_536
 RUN = 256
+_BLOCK = 21  # bits of a block's number in a tile's; the two classes take the other 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -105,6 +106,8 @@ def links(reps: DataFrame, parts: int, radius: int = RADIUS, tile_rows: int = TI
     for r in halves.groupBy("hi", "lo").count().collect():  # 33 x 33 classes at most
         counts[r["hi"], r["lo"]] = r["count"]
     blocks = -(-counts // tile_rows)
+    if blocks.max() >= 1 << _BLOCK:
+        raise ValueError(f"a class of {counts.max()} fingerprints needs larger tiles than {tile_rows} rows")
     steps = [(x, y) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius]
     out = pa.schema([("tile", pa.int64()), ("side", pa.int8()), ("fp", pa.int64()), ("rep", pa.int64())])
 
@@ -123,7 +126,7 @@ def links(reps: DataFrame, parts: int, radius: int = RADIUS, tile_rows: int = TI
                     o, m, i = other[sel], own[sel], block[sel]
                     first = (m < o) | ((m == o) & (i <= j))  # the side with the smaller (class, block) leads
                     tile = np.where(first, m, o).astype(np.int64)
-                    tile = ((tile * 1089 + np.where(first, o, m)) * 16384 + np.where(first, i, j)) * 16384 + np.where(first, j, i)
+                    tile = (tile * 1089 + np.where(first, o, m)) << 2 * _BLOCK | np.where(first, i, j) << _BLOCK | np.where(first, j, i)
                     yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array((~first).astype(np.int8)), pa.array(fp[sel]), pa.array(rep[sel])], schema=out)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +147,9 @@ def links(reps: DataFrame, parts: int, radius: int = RADIUS, tile_rows: int = TI
         for held in tiles():
             side, fp, rep = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
             fp = fp.view(np.uint64)
-            at, pair = int(held[0][0]), divmod(int(held[0][0]) >> 28, 1089)
-            same = pair[0] == pair[1] and (at >> 14) % 16384 == at % 16384
+            at = int(held[0][0])
+            pair, mask = divmod(at >> 2 * _BLOCK, 1089), (1 << _BLOCK) - 1
+            same = pair[0] == pair[1] and at >> _BLOCK & mask == at & mask
             a, b = side == 0, side == 1
             if not same and not (a.any() and b.any()):
                 continue

@@ -1,10 +1,11 @@
 """Toxicity as a severity grade from cumulative-link ordinal regression.
 
 P(grade > k) = sigmoid(w.x - theta_k) with theta ascending and one weight vector w for every threshold. x is
-sparse: which of a hashed vocabulary's words and beginnings of words a text has. The model is fitted on a bounded sample of labelled rows
-(SAMPLE_ROWS, smallest hashes of doc_id), features chosen by chi-squared (LEAST_CHI or more) among those in at least
-MIN_ROWS sampled rows. Labels say toxic or not; a toxic row's grade is 1, or 2 where it has more of the words that mark toxic
-rows than the toxic rows' median. The output is the expected severity, sum of P(grade > k).
+sparse: which of a hashed vocabulary's words and beginnings of words a text has. The model is fitted on a bounded
+sample of labelled rows (SAMPLE_ROWS, smallest hashes of doc_id; of rows that share an id the smallest text), features
+chosen by chi-squared (LEAST_CHI or more) among those in at least MIN_ROWS sampled rows. Labels say toxic or not; a
+toxic row's grade is 1, or 2 where it has more of the words that mark toxic rows than the toxic rows' median. The
+output is the expected severity, sum of P(grade > k).
 
 Null text counts as empty: severity is that of no words. Labels with null toxic or without a document are not
 fitted on; without labels of both kinds nothing is toxic and severity is 0. Repeated rows score alike. Other
@@ -142,8 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             words = [np.array(sorted(features(t)), "<u4").tobytes() for t in texts_as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], schema=schema)
 
-    picked = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most `rows` rows of two values
-    got = sorted((bool(r["toxic"]), bytes(r["words"])) for r in picked.mapInArrow(run, "toxic boolean, words binary").limit(2 * rows).collect())
+    picked = texts.join(F.broadcast(sample), "doc_id")  # at most `rows` rows of two values
+    picked = picked.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+    got = sorted((bool(r["toxic"]), bytes(r["words"])) for r in picked.mapInArrow(run, "toxic boolean, words binary").collect())
     return fit([np.frombuffer(w, "<u4") for _, w in got], np.array([t for t, _ in got], bool))
 
 
