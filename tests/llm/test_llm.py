@@ -509,3 +509,184 @@ def test_cached_ids_are_the_librarys(monkeypatch):
         want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
         assert own.encode(texts) == want
         assert len(own.held) <= 300 and not own.held.fresh and all(type(x) is bytes for x in own.held.values())
+
+
+def test_media_survives_any_bytes():
+    import struct
+
+    whole = media.mux(b"ab" * 960)
+    some = random.Random(8)
+    for _ in range(3000):
+        bad = bytearray(whole)
+        for _ in range(some.randrange(1, 4)):
+            at = some.randrange(len(bad))
+            bad[at : at + 4] = some.choice([b"\xff\xff\xff\xff", b"\0\0\0\0", b"\0\0\0\1", some.randbytes(4)])[: len(bad) - at]
+        tracks, error = media.inspect(bytes(bad))
+        assert bool(tracks) != bool(error) or not tracks
+        assert all((t["keys"] >= 0).all() and (t["keys"] < len(t["size"])).all() for t in tracks)
+        media._features(bytes(bad))
+    for kind in (b"stsz", b"stsc", b"stts", b"stss", b"stco"):
+        at = whole.index(kind) + 8
+        for count in (at, at + 4, at + 8):
+            media.inspect(whole[:count] + b"\xff\xff\xff\xff" + whole[count + 4 :])
+    nested = b""
+    for _ in range(3000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+    assert media.inspect(nested)[0] == [] and "nested" in media.inspect(nested)[1]
+    ended = media._box(b"moov", media._box(b"udta", media._box(b"name", b"x"), bytes(4)))
+    assert [p[-1] for p, *_ in media.walk(ended)] == [b"moov", b"udta", b"name"]
+
+
+def test_media_reads_fragments_and_compact_sizes():
+    import struct
+
+    full, box = media._full, media._box
+    for bits, body, want in ((4, bytes([0x12, 0x30]), [1, 2, 3]), (8, bytes([5, 6, 7]), [5, 6, 7]), (16, struct.pack(">3H", 300, 2, 1), [300, 2, 1])):
+        data = struct.pack(">I", 0) + bytes(3) + bytes([bits]) + struct.pack(">I", 3) + body
+        assert media._sizes(data, {b"stz2": (0, len(data))}).tolist() == want
+    empty = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, 0, 0, 0)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", empty))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(68)), mdia)
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">IIIII", 7, 1, 25, 0, 0x10000))))
+    data, at = moov, []
+    for payload, sizes in ((b"abcdef", (1, 2, 3)), (b"ghij", (4,))):
+        def moof(place, sizes=sizes):
+            trun = full(b"trun", struct.pack(">Ii I", len(sizes), place, 0), struct.pack(f">{len(sizes)}I", *sizes), flags=0x205)
+            return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun))
+
+        head = moof(len(moof(0)) + 8)
+        start = len(data) + len(head) + 8
+        at += [(start + sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+        data += head + box(b"mdat", payload)
+    (track,), error = media.inspect(data)
+    assert error == "" and track["codec"] == "avc1" and track["duration"] == 100
+    assert list(zip(track["offset"].tolist(), track["size"].tolist(), strict=True)) == at and track["keys"].tolist() == [0, 3]
+
+
+def test_repeats_with_hot_runs_equal_brute_force(spark):
+    some = random.Random(6)
+    pool = [f"w{k}" for k in range(3000)]
+    line = "all rights reserved by the owners of this text"
+    passage = " ".join(some.choices(pool, k=40))
+    texts = [f"{' '.join(some.choices(pool, k=30))} {line} {' '.join(some.choices(pool, k=30))} {passage if i % 50 == 0 else ''}" for i in range(400)]
+    texts += ["a b " * 60] * 3
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(5)
+    hot = repeats.hot_runs(df, 8)
+    words = repeats.Words()
+    assert set(repeats.runs_of(words.hashes(line.encode().split())).tolist()) <= set(hot.tolist())
+    own = repeats.super_kmers(words.hashes(texts[0].encode().split()), hot=hot)[0]
+    assert (own < 1 << 63).all()  # every window there holds a run that is not hot
+    seen, want = {}, []
+    for i, t in enumerate(texts):
+        w, gone = t.encode().split(), set()
+        for s in range(len(w) - 19):
+            if seen.setdefault(tuple(w[s : s + 20]), (i, s)) != (i, s):
+                gone.update(range(s, s + 20))
+        want.append((len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    got = repeats.without_repeats(df).collect()
+    assert len(got) == len(texts) + 1 and all((r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
+
+
+def test_documents_are_read_by_their_blocks():
+    some = np.random.default_rng(4)
+    ids = [some.integers(0, 50_000, n).astype("<u4").tobytes() for n in (0, 5, 3000, 1, 5000, 700)]
+    data = idshards.encode_shard([1, 2, 3, None, 2, 6], ids)
+    assert [x.tobytes() for x in idshards.read_document(data, 2)] == [ids[1], ids[4]]
+    assert [x.tobytes() for x in idshards.read_document(data, None)] == [ids[3]] and idshards.read_document(data, 9) == []
+    assert [len(x) for x in idshards.read_document(data, 1)] == [0]
+
+
+def test_vectors_of_any_finite_magnitude_link(spark):
+    g = np.random.default_rng(9)
+    base = g.normal(size=(6, 8))
+    scales = [1.0, 1e200, 1e-200, 1e300, 1e-300, 4e-320]
+    rows = [(10 * i + j, (v * x).tolist(), 0) for i, v in enumerate(base) for j, x in enumerate(scales[:5])] + [(900, [4e-320, 0.0], 0), (901, [1e308, 0.0], 0), (902, [0.0, -1e308], 0)]
+    rows += [(500 + k, base[0].tolist(), 0) for k in range(4)]  # copies count as often as they occur
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v, _ in rows}
+    links = [(i, j) for i, v in unit.items() for j, w in unit.items() if i != j and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
+    for i in unit:
+        near = [j for a, j in links if a == i]
+        assert (got[i]["n_links"], got[i]["component_id"]) == (len(near), min([i, *near])), i
+    assert got[0]["n_links"] == 8 and got[900]["component_id"] == 900 and got[901]["n_links"] == 1
+
+
+def test_mixing_rows_equal_brute_force(spark):
+    some = random.Random(12)
+    rows = [(i, " ".join("w" * (1 + some.randrange(9))), some.choice(["a", "a", "a", "a", "b", None])) for i in range(150)]
+    rows += [(200, LONG, "a"), (201, None, "c"), (202, "", "c"), (203, "x", "d"), (203, "x", "d"), (None, "y z", "b")]
+    names = ["_source", "_plan", "_turn", "row", "plan", "own", "block", "turn", "of", "mixed"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    number = lambda n, size: int(n).to_bytes(size, "little")
+    place_of = lambda s, turn, b: (
+        (spark_hash(*([s] if s is not None else []), number(turn, 4), number(mixing.SEED, 4), "a") % (mixing.BLOCKS // 2) * 2 + 1) * b
+        + spark_hash(*([s] if s is not None else []), number(turn, 4), number(mixing.SEED, 4), "c")
+    ) % mixing.BLOCKS
+    block = lambda d: spark_hash(*([number(d, 8)] if d is not None else []), number(mixing.SEED, 4)) % mixing.BLOCKS
+    n = [len((t or "").split()) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is not None, s))
+    tokens = [float(sum(x for x, r in zip(n, rows, strict=True) if r[2] == s)) for s in sources]
+    w = mixing.weights(tokens, mixing.temper(tokens))
+    want = []
+    for s, total, x, rep in zip(sources, tokens, w, mixing.repetitions(tokens, w), strict=True):
+        rep = round(rep, 9)
+        whole, rest, got, fits = int(rep), (rep - int(rep)) * total, 0.0, set()
+        own = [(d, block(d), k) for (d, _, y), k in zip(rows, n, strict=True) if y == s]
+        for b in sorted({b for _, b, _ in own}, key=lambda b: place_of(s, whole, b)):
+            size = sum(k for _, c, k in own if c == b)
+            if rest > 0 and size <= rest:
+                rest, got = rest - size, got + size
+                fits.add(b)
+        realised = (whole * total + got) / total if total else rep
+        want += [(d, s, turn, b, place_of(s, turn, b), round(x, 9), rep, round(realised, 9)) for d, b, _ in own for turn in range(whole + (b in fits))]
+    got = mixing.mix(df, mixing.plan(df)).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    mine = [(r["doc_id"], r["source"], m["copy"], m["block"], m["place"], round(m["weight"], 9), m["repetition"], round(m["realised"], 9)) for r in got for m in [r["mixed"]]]
+    assert sorted(mine, key=key) == sorted(want, key=key) and len(want) > len(rows)
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", *names} and all(r["_turn"] == 2 and r["of"] == 8 for r in got)
+
+
+def test_severity_equals_brute_force(spark, docs):
+    m = toxicity.Model(np.array(sorted(toxicity.zlib.crc32(x) for x in (b"alpha", b"gamma", b"beta", b"alp~")), np.uint32), np.array([0.7, -0.4, 1.1, 0.2]), np.array([0.5, 1.6]))
+    weight = dict(zip(m.places.tolist(), m.weights.tolist(), strict=True))
+    got = toxicity.severity(docs, m).collect()
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
+        keys = {k for w in (TEXTS[r["doc_id"] - 1] or "").encode().split() for k in toxicity.feature(w)}
+        score = sum(weight.get(k, 0.0) for k in keys)
+        above = [1 / (1 + np.exp(t - score)) for t in m.theta]
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        assert r["severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0])
+        assert r["grade"] == int(np.argmax(p)) and r["toxic"] == (above[0] > 0.5)
+    assert {r["toxic"] for r in got} == {True, False}
+
+
+def test_training_does_not_depend_on_the_rows_order(spark):
+    some = random.Random(2)
+    rows = [(i // 3, " ".join(some.choices(WORDS, k=12)) + (" vile" if i // 3 % 4 == 0 else "")) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    models = []
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        models.append(toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + seed), labels))
+    assert len(models[0].places) and all(np.array_equal(getattr(models[0], x), getattr(models[1], x)) for x in ("places", "weights", "theta"))
+
+
+def test_pipeline_carries_any_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["_id", "own", "base", "terms", "mixed2", "fp", "node", "component", "toxic", "kept"]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names)
+    texts = [None, "", BASE, BASE, f"{BASE[::-1]} mail a.b@mail.example of Zorbon", LONG]
+    rows = [(i, t, None if i % 2 else "s", *range(len(names))) for i, t in enumerate(texts)] + [(None, "null id", None, *range(len(names)))]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == ["doc_id", "text", "source", *names], stage
+            assert all(r["_id"] == 0 and r["kept"] == 9 for r in docs.collect()), stage
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in got} == ({0, 2, 4, 5, None} if data else set())
