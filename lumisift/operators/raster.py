@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,21 +56,32 @@ def _cosines(n: int = 32) -> np.ndarray:
     return c
 
 
-def phash_of(pixels: np.ndarray) -> int:
-    """64 bits of a 32 x 32 raster: low frequencies above the median of all but the first row."""
-    c = _cosines()
-    low = (c @ pixels.astype(np.float64).reshape(32, 32) @ c.T)[:8, :8]
-    bits = (low > np.median(low[1:])).ravel()
-    return int("".join("1" if b else "0" for b in bits), 2)
+_LOW = _cosines()[:8]  # the low frequencies, eight of 32
+
+
+def phashes_of(pixels: np.ndarray) -> np.ndarray:
+    """Of rasters (n, 1024) of 32 x 32, 64 bits each: low frequencies above the median of all but the first row."""
+    low = _LOW @ pixels.astype(np.float64).reshape(-1, 32, 32) @ _LOW.T
+    bits = (low > np.median(low[:, 1:].reshape(len(low), -1), axis=1)[:, None, None]).reshape(len(low), 64)
+    return np.packbits(bits, axis=1).view(">u8").ravel()
 
 
 def phash(px: DataFrame, key: str = "id", gray: str = "gray") -> DataFrame:
-    """(key, phash): 16 hex digits of 32 x 32 rasters."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            yield pd.DataFrame({key: b[key], "phash": [f"{phash_of(np.asarray(g)):016x}" for g in b[gray]]})
+    """(key, phash): 16 hex digits of 32 x 32 rasters, a batch at a time; null for rasters of another size."""
+    kind = px.schema[key].dataType.simpleString()
 
-    return px.select(key, gray).mapInPandas(run, f"{key} {px.schema[key].dataType.simpleString()}, phash string")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fits = pc.equal(pc.list_value_length(b.column(1)), 1024).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(fits == True)  # noqa: E712 null is no match
+            out: list[str | None] = [None] * b.num_rows
+            if len(at):
+                flat = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+                for i, h in zip(at.tolist(), phashes_of(flat.reshape(len(at), 1024)).tolist(), strict=True):
+                    out[i] = f"{h:016x}"
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "phash"])
+
+    return px.select(key, gray).mapInArrow(run, f"{key} {kind}, phash string")
 
 
 def still_frame(frames: DataFrame, stills: DataFrame, key: str = "id") -> DataFrame:
