@@ -101,8 +101,8 @@ def motion_fingerprint(*parts: Column) -> Column:
 
 
 def blink_fingerprint(**parts: Column) -> Column:
-    """SHA-256 of the inputs as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts)))), 256)
+    """SHA-256 of the inputs as JSON with sorted keys and without blanks; a null input is written as null."""
+    return F.sha2(F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"}), 256)
 
 
 def group_id(ids: Column) -> Column:

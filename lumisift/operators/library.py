@@ -41,11 +41,29 @@ def page(photos: DataFrame, where: Column, search: str = "", limit: int = 200, o
     return found.orderBy(rank, "relative_path").offset(max(0, offset)).limit(min(500, max(1, limit)))
 
 
-def payload(photos: DataFrame, profile: Profile) -> DataFrame:
-    """What a client sees: score from 0 to 100, sentinels as null, motion fields nested."""
-    motion = F.when(F.col("media_type") == "motion_photo", F.struct(*[c for c in photos.columns if c.startswith("motion_")]))
-    ratio = F.when(F.col("blink_closed_ratio") >= 0, F.col("blink_closed_ratio"))
-    return photos.withColumns({"score": S.display_score(S.quality_score(profile.quality)), "blink_closed_ratio": ratio, "motion": motion})
+def _whole(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0)).cast("long")
+
+
+def payload(photos: DataFrame, profile: Profile, project_id: str, token: str = "") -> DataFrame:
+    """What a client sees: score from 0 to 100, sentinels as null, links with the cover's revision, motion fields nested."""
+    def link(path: str) -> Column:
+        return F.concat(F.lit(f"/api/{path}?project_id={project_id}&id="), F.col("id").cast("string"), F.lit(f"&token={token}&v="), _whole("cover_revision").cast("string"))
+
+    whole = ("duration_ms", "frame_count", "width", "height", "still_time_ms")
+    fields = [F.col("motion_kind").alias("kind"), *(_whole(f"motion_{c}").alias(c) for c in whole), F.coalesce("motion_fps", F.lit(0)).cast("double").alias("fps")]
+    fields += ["cover_source", _whole("cover_time_ms").alias("cover_time_ms"), _whole("cover_frame_index").alias("cover_frame_index"), F.col("motion_error").alias("error"), link("motion/video").alias("video_url")]
+    return photos.withColumns({
+        "project_id": F.lit(project_id),
+        "quality_score": S.display_score(S.quality_score(profile.quality)),
+        "blink_closed_ratio": F.when(F.col("blink_closed_ratio") >= 0, F.col("blink_closed_ratio")),
+        "thumb_url": link("thumb"),
+        "photo_url": link("photo"),
+        "motion": F.when(F.col("media_type") == "motion_photo", F.struct(*fields)),
+    })
+
+
+SUGGESTIONS = ("remove", "review", "keep", "unreadable")
 
 
 def counts(photos: DataFrame) -> DataFrame:
@@ -54,10 +72,21 @@ def counts(photos: DataFrame) -> DataFrame:
     act = {"total": active, **{f"ai_{s}": active & (F.col("suggestion") == s) for s in ("keep", "review", "remove")}, "unreadable": library_filter(unreadable=True)}
     act |= {f"decision_{d or 'undecided'}": active & (F.col("decision") == d) for d in ("", "keep", "remove")}
     act |= {"readable": active & ok} | {f"library_{name}": library_filter(*spec) for name, spec in PRESETS.items() if name != "library"}
-    act |= {"ai_remove_pending": library_filter("undecided", "remove")}
+    act |= {"ai_remove_pending": library_filter("undecided", "remove"), "ai_unreadable": active & (F.col("suggestion") == "unreadable")}
     return photos.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in act.items()))
 
 
+def project_counts(photos: DataFrame) -> DataFrame:
+    """One row: total, and counts by suggestion and by decision as maps without zeros."""
+    n = counts(photos)
+
+    def some(names: tuple[str, ...], prefix: str) -> Column:
+        pairs = F.create_map(*(x for k in names for x in (F.lit(k), F.col(f"{prefix}_{k}"))))
+        return F.map_filter(pairs, lambda _, v: v > 0)
+
+    return n.select("total", some(SUGGESTIONS, "ai").alias("counts"), some(("keep", "remove"), "decision").alias("decisions"))
+
+
 def recent_project(photos: DataFrame) -> DataFrame:
     """Active photos, those kept, and the cover: kept first, then newest, then highest id."""
     active = photos.where("status = 'active'")

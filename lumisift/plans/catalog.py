@@ -62,7 +62,7 @@ def library_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) FILTER (act) AS total, count(*) FILTER (act AND suggestion = 'keep') AS ai_keep, count(*) FILTER (act AND suggestion = 'review') AS ai_review, count(*) FILTER (act AND suggestion = 'remove') AS ai_remove,
  count(*) FILTER (act AND NOT ok) AS unreadable, count(*) FILTER (act AND decision = '') AS decision_undecided, count(*) FILTER (act AND decision = 'keep') AS decision_keep, count(*) FILTER (act AND decision = 'remove') AS decision_remove,
  count(*) FILTER (act AND ok) AS readable, count(*) FILTER (act AND ok AND decision = '' AND suggestion IN ('remove', 'review')) AS library_ai, count(*) FILTER (act AND ok AND decision = '') AS library_undecided,
- count(*) FILTER (act AND ok AND decision = 'keep') AS library_keep, count(*) FILTER (act AND ok AND decision = 'remove') AS library_remove, count(*) FILTER (act AND ok AND decision = '' AND suggestion = 'remove') AS ai_remove_pending FROM a""")
+ count(*) FILTER (act AND ok AND decision = 'keep') AS library_keep, count(*) FILTER (act AND ok AND decision = 'remove') AS library_remove, count(*) FILTER (act AND ok AND decision = '' AND suggestion = 'remove') AS ai_remove_pending, count(*) FILTER (act AND suggestion = 'unreadable') AS ai_unreadable FROM a""")
 def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.counts(A.docs_as_photos(spark, sf_dir))
 
@@ -192,7 +192,7 @@ def size_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.size_groups(A.docs_as_photos(spark, sf_dir))
 
 
-@query(f"WITH {A.V_DOC}, u AS (SELECT * FROM v_doc WHERE status = 'active' AND error = '') SELECT id, sha256(text) AS sha256 FROM u WHERE size IN (SELECT size FROM u GROUP BY size HAVING count(*) > 1)")
+@query(f"WITH {A.V_DOC}, u AS (SELECT * FROM v_doc WHERE status = 'active' AND error = '') SELECT id, sha256(text) AS sha256 FROM v_doc WHERE status = 'active' AND size IN (SELECT size FROM u GROUP BY size HAVING count(*) > 1)")
 def exact_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.hash_candidates(A.docs_as_photos(spark, sf_dir).withColumn("sha256", F.lit("")), "text")
 
@@ -276,7 +276,7 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.ranked(photos, groups.members(photos, edges), LOOSE).select("component", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_GROUPS}, widest(node, c, d) AS (SELECT id, 1.0::DOUBLE, 0 FROM ranked WHERE rank = 1 UNION SELECT b.q, least(w.c, b.score), w.d + 1 FROM widest w JOIN both_ b ON b.p = w.node WHERE w.d < 12)
+@query(f"""WITH {_GROUPS}, widest(node, c) AS (SELECT id, 1.0::DOUBLE FROM ranked WHERE rank = 1 UNION SELECT b.q, least(w.c, b.score) FROM widest w JOIN both_ b ON b.p = w.node)
 SELECT r.id, round(max(w.c), 6) AS confidence FROM ranked r JOIN widest w ON w.node = r.id GROUP BY r.id""")
 def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
@@ -402,12 +402,14 @@ def _imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return D.import_decisions(photos, rows.union(again), "album")
 
 
-@query(f"WITH {A.V_DOC} SELECT id, CASE WHEN id % 8 = 0 THEN 'keep' WHEN id % 4 IN (0, 2) THEN CASE id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'remove' ELSE '' END ELSE decision END AS decision FROM v_doc")
+@query(f"""WITH {A.V_DOC} SELECT id, CASE WHEN id % 8 = 0 OR id % 4 IN (0, 2) AND id % 3 = 0 THEN 'keep' WHEN id % 4 IN (0, 2) AND id % 3 = 1 THEN 'remove'
+ ELSE decision END AS decision FROM v_doc""")
 def decision_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(spark, sf_dir)[0].select("id", "decision")
 
 
-@query(f"WITH {A.V_DOC} SELECT count(*) FILTER (id % 4 IN (0, 2)) + count(*) FILTER (id % 8 = 0) AS imported, count(*) FILTER (id % 4 = 3) AS missing FROM v_doc")
+@query(f"""WITH {A.V_DOC} SELECT count(*) FILTER (id % 4 IN (0, 2) AND id % 3 < 2) + count(*) FILTER (id % 8 = 0) AS imported,
+ count(*) FILTER (id % 4 = 3 AND id % 3 < 2) AS missing FROM v_doc""")
 def decision_import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(spark, sf_dir)[1]
 
@@ -422,12 +424,21 @@ def quarantine_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.quarantine_preview(A.docs_as_photos(spark, sf_dir))
 
 
-_PLAN = "plan AS (SELECT v.id, v.relative_path, v.size, CASE WHEN l.size IS NULL THEN 'missing' WHEN l.size <> v.size OR abs(l.mtime - v.mtime) > 0.010 THEN 'changed' ELSE 'move' END AS state, concat('batch/', v.relative_path) AS target FROM v_doc v LEFT JOIN listing l ON l.relative_path = v.relative_path WHERE v.decision = 'remove' AND v.status = 'active')"
+def _with_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = A.docs_as_photos(spark, sf_dir).where("id % 12 = 0").selectExpr("motion_relative_path as relative_path", "motion_size + if(id % 24 = 0, 1, 0) as size", "0D as mtime")
+    return _listing(spark, sf_dir).unionByName(clips)
+
+
+_PLAN = """clips AS (SELECT motion_relative_path AS clip, motion_size + CASE WHEN id % 24 = 0 THEN 1 ELSE 0 END AS clip_size FROM v_doc WHERE id % 12 = 0),
+plan AS (SELECT v.id, v.relative_path, v.size, CASE WHEN l.size IS NULL OR v.id % 6 = 0 AND c.clip IS NULL THEN 'missing'
+ WHEN l.size <> v.size OR abs(l.mtime - v.mtime) > 0.010 OR v.id % 6 = 0 AND c.clip_size <> v.motion_size THEN 'changed' ELSE 'move' END AS state,
+ concat('batch/', v.relative_path) AS target FROM v_doc v LEFT JOIN listing l ON l.relative_path = v.relative_path LEFT JOIN clips c ON c.clip = v.motion_relative_path
+ WHERE v.decision = 'remove' AND v.status = 'active')"""
 
 
 @query(f"WITH {A.V_DOC}, {_LISTING}, {_PLAN} SELECT * FROM plan")
 def quarantine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.quarantine_plan(A.docs_as_photos(spark, sf_dir), _listing(spark, sf_dir), "batch")
+    return D.quarantine_plan(A.docs_as_photos(spark, sf_dir), _with_clips(spark, sf_dir), "batch")
 
 
 @query(f"WITH {A.V_DOC}, {_LISTING}, {_PLAN} SELECT count(*) FILTER (state = 'move') AS moved, coalesce(sum(size) FILTER (state = 'move'), 0)::BIGINT AS moved_bytes, count(*) FILTER (state <> 'move') AS skipped FROM plan")
@@ -469,7 +480,7 @@ _PATH = "concat('DCIM/', (o_custkey % 9)::VARCHAR, '/IMG_', lpad(o_orderkey::VAR
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("concat('DCIM/', cast(o_custkey % 9 as string), '/IMG_', lpad(cast(o_orderkey as string), 6, '0'), if(o_orderkey % 3 = 0, '.CR2', '.jpg'))").alias("path"), F.expr("if(o_orderkey % 10 = 0, '', date_format(o_orderdate, if(o_orderkey % 2 = 0, 'yyyy:MM:dd HH:mm:ss', 'yyyy-MM-dd HH:mm:ss')))").alias("taken"))
+    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.expr("concat('DCIM/', cast(o_custkey % 9 as string), '/IMG_', lpad(cast(o_orderkey as string), 6, '0'), if(o_orderkey % 3 = 0, '.CR2', '.jpg'))").alias("path"), F.expr("if(o_orderkey % 10 = 0, '', date_format(o_orderdate, if(o_orderkey % 2 = 0, 'yyyy:MM:dd HH:mm:ss', 'yyyy-MM-dd HH:mm:ss')))").alias("taken"))
 
 
 @query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_orderkey END::BIGINT AS sequence, lower(concat('dcim/', (o_custkey % 9)::VARCHAR)) AS dir, concat(sha1({_PATH}), '.jpg') AS thumbnail, concat('thumbs/', sha1({_PATH}), '.jpg') AS thumbnail_path, substr(sha1(lower({_PATH})), 1, 16) AS project_id, substr(sha1(concat_ws(':', {_PATH}, o_orderkey)), 1, 20) AS motion_key, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(o_orderdate) // 1000000 END AS taken_s FROM orders")
@@ -483,6 +494,6 @@ def photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shooting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    rows = _named(spark, sf_dir).join(A.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_custkey"), "id")
+    rows = _named(spark, sf_dir)
     key = S.shooting_key(S.capture_time(F.col("taken")), S.sequence_number(F.col("path")), F.col("path"))
     return rows.select("id", F.row_number().over(W.partitionBy("o_custkey").orderBy(key)).cast("long").alias("place"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
+# The rules, the three built-in profiles with their thresholds and weights, and the ranges allowed.
 RULES = ("sharpness", "luminance", "bright_clip", "contrast", "entropy", "resolution", "file_size")
 
 
@@ -39,7 +43,7 @@ class Blink:
     closed_min: float = 0.85
     open_min: float = 0.80
     face_min: float = 0.80
-    eye_distance_min: float = 12
+    eye_distance_min: int = 12
     coverage_min: float = 0.80
 
 
@@ -75,13 +79,78 @@ AGGRESSIVE = Profile(
 BUILT_IN = {"conservative": CONSERVATIVE, "balanced": BALANCED, "aggressive": AGGRESSIVE}
 
 
-def validate(p: Profile) -> list[str]:
-    """What is wrong with a profile."""
-    wrong: list[str] = []
+WEIGHTS = ("sharpness", "exposure", "contrast", "entropy", "resolution")
+RANGES = {
+    "blur_review": (0, 10_000),
+    "blur_remove": (0, 10_000),
+    "dark_review": (0, 255),
+    "dark_remove": (0, 255),
+    "contrast_review": (0, 128),
+    "contrast_remove": (0, 128),
+    "entropy_review": (0, 8),
+    "entropy_remove": (0, 8),
+    "megapixels_review": (0, 500),
+    "megapixels_remove": (0, 500),
+    "size_kb_review": (0, 10_000_000),
+    "size_kb_remove": (0, 10_000_000),
+    "time_window_min": (0, 10_080),
+    "sequence_gap": (0, 10_000),
+    "min_group_size": (2, 1_000),
+    "structure_min": (-1, 1),
+    "closed_min": (0.5, 0.99),
+    "open_min": (0.5, 0.99),
+    "face_min": (0.5, 0.99),
+    "eye_distance_min": (4, 64),
+    "coverage_min": (0.5, 1),
+}
+SIGNED = {"structure_min"}
+
+
+def _numbers(p: Profile) -> Iterator[tuple[str, object]]:
     for part in (p.quality, p.similarity, p.similarity.blink):
         for name, value in asdict(part).items():
-            if isinstance(value, (int, float)) and not isinstance(value, bool) and (not math.isfinite(value) or value < 0):
-                wrong.append(f"{name} must be finite and not negative")
+            if name not in {"threshold_mode", "match_mode", "enabled", "weights", "cross_time", "face_safe", "blink"}:
+                yield name, value
+
+
+def _misfits(p: Profile) -> list[str]:
+    """Values of a wrong type or out of their range."""
+    wrong = []
+    for name, value in _numbers(p):
+        low, high = RANGES.get(name, (0, math.inf))
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            wrong.append(f"{name} must be a number")
+        elif not math.isfinite(value) or value < 0 and name not in SIGNED:
+            wrong.append(f"{name} must be finite and not negative")
+        elif not low <= value <= high:
+            wrong.append(f"{name} must lie between {low} and {high}")
+    weights = dict(p.quality.weights)
+    for name in WEIGHTS:
+        x = weights.get(name)
+        if isinstance(x, bool) or not isinstance(x, (int, float)) or not 0 <= x <= 10:
+            wrong.append(f"the weight of {name} must be a number between 0 and 10")
+    if not wrong and sum(weights[n] for n in WEIGHTS) <= 0:
+        wrong.append("the weights must not all be 0")
+    for name in ("cross_time", "face_safe"):
+        if not isinstance(getattr(p.similarity, name), bool):
+            wrong.append(f"{name} must be true or false")
+    if not isinstance(p.similarity.blink.eye_distance_min, int):
+        wrong.append("eye_distance_min must be a whole number")
+    return wrong
+
+
+def validate_name(name: str) -> list[str]:
+    """What is wrong with a profile's name."""
+    return [] if 1 <= len(name.strip()) <= 40 else ["a profile's name has 1 to 40 characters"]
+
+
+def validate(p: Profile) -> list[str]:
+    """What is wrong with a profile."""
+    wrong = _misfits(p)
+    if wrong:
+        return wrong
+    if p.similarity.blink.open_min + p.similarity.blink.closed_min <= 1:
+        wrong.append("open_min and closed_min must be more than 1 together")
     q, s = p.quality, p.similarity
     for low in ("blur", "blur_percentile", "dark", "contrast", "entropy", "megapixels", "size_kb"):
         if getattr(q, f"{low}_remove") > getattr(q, f"{low}_review"):
@@ -96,8 +165,6 @@ def validate(p: Profile) -> list[str]:
     if q.match_mode not in {"any", "all"}:
         wrong.append("match_mode must be any or all")
     wrong += [f"unknown rule {r}" for r in q.enabled if r not in RULES]
-    if s.min_group_size < 2:
-        wrong.append("min_group_size must be at least 2")
     wrong += [f"{n} must be at most 64" for n in ("phash_max", "dhash_max") if getattr(s, n) > 64]
     wrong += [f"{n} must be at most 1" for n in ("structure_min", "aspect_tolerance") if getattr(s, n) > 1]
     return wrong
@@ -117,6 +184,23 @@ def change_plan(old: Profile, new: Profile) -> RefreshPlan:
     return RefreshPlan(old.quality != new.quality, pairs, pairs or old.similarity.blink != new.similarity.blink)
 
 
+def blink_thresholds(b: Blink) -> str:
+    """The thresholds as JSON with sorted keys, a part of each photo's blink fingerprint."""
+    named = {
+        "face_confidence_min": float(b.face_min),
+        "open_confidence_min": float(b.open_min),
+        "closed_confidence_min": float(b.closed_min),
+        "min_eye_distance_px": b.eye_distance_min,
+        "reliable_coverage_min": float(b.coverage_min),
+    }
+    return json.dumps(named, sort_keys=True, separators=(",", ":"))
+
+
+def fingerprint(p: Profile, blinks: bool) -> str:
+    """SHA-256 of a profile and whether blinks count: what a group topology depends on beside the rows."""
+    return hashlib.sha256(json.dumps({"profile": asdict(p), "blinks": blinks}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def photo_plan(photo_id: int) -> RefreshPlan:
     """All stages for one changed photo."""
     return RefreshPlan(True, True, True, frozenset({photo_id}))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -104,14 +105,92 @@ def write_decisions(rows: DataFrame, path: str) -> None:
     os.replace(temp, path)
 
 
-MANIFEST = ("id", "relative_path", "size", "mtime", "state", "target", "sha256", "motion_relative_path", "motion_target", "error")
+# The manifest's fields, each with the column it comes from.
+MANIFEST = {
+    "photo_id": "id",
+    "relative_path": "relative_path",
+    "quarantine_path": "target",
+    "restore_path": "back_to",
+    "companion_relative_path": "motion_relative_path",
+    "companion_quarantine_path": "motion_target",
+    "companion_restore_path": "motion_back_to",
+    "status": "state",
+    "size": "size",
+    "error": "error",
+}
+
+
+def _swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """A folder of files appears whole or not at all: written beside its place, then renamed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    aside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    write(aside)
+    to = hadoop(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(to) and not fs.rename(to, hadoop(old)):
+        raise OSError(f"{path} cannot be replaced")
+    if not fs.rename(hadoop(aside), to):
+        raise OSError(f"{path} cannot be put in place")
+    fs.delete(hadoop(old), True)
 
 
 def write_manifest(rows: DataFrame, folder: str) -> None:
     """A batch's manifest as CSV with fixed fields, missing ones empty, and as JSON lines."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in MANIFEST]
-    rows.select(*cols).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{folder}/csv")
-    rows.write.mode("overwrite").json(f"{folder}/json")
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f) if c in rows.columns else F.lit("").alias(f) for f, c in MANIFEST.items()]
+    spark = rows.sparkSession
+    _swapped(spark, f"{folder}/csv", lambda to: rows.select(*cols).write.option("header", True).option("emptyValue", "").csv(to))
+    _swapped(spark, f"{folder}/json", lambda to: rows.write.json(to))
+
+
+def write_thumbnails(rows: DataFrame, folder: str, side: int = 512, quality: int = 86) -> DataFrame:
+    """(name, error) of rasters (name, height, width, rgb binary) written as JPEG files of at most side pixels.
+
+    A file is replaced at once or not at all; one that cannot be made leaves an older one as it was. The folder must
+    be one that every executor sees.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            out = []
+            for name, h, w, rgb in zip(b["name"], b["height"], b["width"], b["rgb"], strict=True):
+                try:
+                    from PIL import Image
+
+                    path = inside(folder, name)
+                    image = Image.frombytes("RGB", (int(w), int(h)), bytes(rgb))
+                    image.thumbnail((side, side), Image.Resampling.LANCZOS)
+                    temp = f"{path}.{uuid.uuid4().hex}"
+                    try:
+                        image.save(temp, "JPEG", quality=quality)
+                        os.replace(temp, path)
+                    finally:
+                        if os.path.exists(temp):
+                            os.unlink(temp)
+                    out.append((name, ""))
+                except Exception as e:  # a thumbnail that fails is a row with an error  # noqa: BLE001
+                    out.append((name, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["name", "error"])
+
+    return rows.select("name", "height", "width", "rgb").mapInPandas(run, "name string, error string")
+
+
+def read_heads(listing: DataFrame, root: str, most: int = 2 << 20) -> DataFrame:
+    """(relative_path, size, head): the first bytes of JPEG files as text, what is no UTF-8 left out."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            out = []
+            for rel in b["relative_path"]:
+                try:
+                    path = inside(root, rel)
+                    with open(path, "rb") as f:
+                        out.append((rel, os.path.getsize(path), f.read(most).decode("utf-8", "ignore")))
+                except (OSError, ValueError):
+                    out.append((rel, None, ""))
+            yield pd.DataFrame(out, columns=["relative_path", "size", "head"])
+
+    some = listing.where(F.col("ext").isin("jpg", "jpeg")).select("relative_path")
+    return some.mapInPandas(run, "relative_path string, size long, head string")
 
 
 class Snapshots:
