@@ -343,17 +343,6 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").selectExpr("user_id as photo_id", "event_id as face_id", "cast(event_id * 13 % 200 as double) as x", "cast(event_id * 29 % 200 as double) as y", "cast(20 + event_id % 30 as double) as width", "cast(20 + event_id % 25 as double) as height", "cast(event_id % 97 as double) / 97 as score")
 
 
-@query()
-def face_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faces.suppress(_boxes(spark, sf_dir))
-
-
-@query()
-def face_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _boxes(spark, sf_dir)
-    return faces.match_faces(b, b.withColumn("x", F.col("x") + 2))
-
-
 # ---- scans, decisions and quarantine
 
 

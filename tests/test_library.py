@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumisift.functions import scalars as S
 from lumisift.operators import dedupe, faces, groups, library, quality, raster, similarity
 from lumisift.plans import profiles as P
-from lumisift.plans.catalog import ORACLE_SQL, QUERIES
+from lumisift.plans.more import ORACLE_SQL, QUERIES
 from lumisift.sources import files, moves
 
 SF = "/root/testdata/sf0.001"
