@@ -30,4 +30,15 @@ r(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.w, r.root FROM r J
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id""",
+    "op8_repeats": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p, len(words) AS n FROM w),
+k AS (SELECT doc_id, p, word, CASE WHEN p + 19 <= n THEN string_agg(word, ' ')
+      OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS seq FROM t),
+f AS (SELECT *, seq IS NOT NULL AND row_number() OVER (PARTITION BY seq ORDER BY doc_id, p) > 1 AS later FROM k),
+c AS (SELECT doc_id, p, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+      sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
 }

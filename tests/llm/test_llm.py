@@ -690,3 +690,20 @@ def test_pipeline_carries_any_columns_and_empty_tables(spark, tmp_path):
             assert all(r["_id"] == 0 and r["kept"] == 9 for r in docs.collect()), stage
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r["doc_id"] for r in got} == ({0, 2, 4, 5, None} if data else set())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    from lumisift.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, f"/root/testdata/{sf}")
+        cols = sorted(df.columns)
+        cur = con.execute(sql)
+        at = [[d[0] for d in cur.description].index(c) for c in cols]
+        assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in cur.fetchall()), name
