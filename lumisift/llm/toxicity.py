@@ -27,8 +27,9 @@ from lumisift.llm.common import table, texts_as_bytes
 
 SAMPLE_ROWS = 8_000
 FEATURES = 4_096
-LEAST_CHI = 30.0
-MIN_ROWS = 5
+LEAST_CHI = 15.0
+MIN_ROWS = 3
+DECAY = 0.2  # of all weights, over the number of rows: few labels are held to small weights
 GRADES = 3
 WORDS_HELD = 100_000
 BEGINNINGS = (3, 4, 5, 6)
@@ -80,7 +81,7 @@ def _rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate(lists) if lists else np.empty(0, np.uint32)
 
 
-def fit(lists: list[np.ndarray], toxic: np.ndarray, epochs: int = 400, rate: float = 0.1, decay: float = 2e-6) -> Model:
+def fit(lists: list[np.ndarray], toxic: np.ndarray, epochs: int = 400, rate: float = 0.1, decay: float = DECAY) -> Model:
     """The ordinal model of rows given by their words' keys."""
     if not len(lists) or toxic.all() or not toxic.any():
         return Model()
@@ -121,7 +122,7 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, epochs: int = 400, rate: flo
         a, b = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
         gs = -(a - b) / p / n  # by score; a threshold's slope is the opposite
         gt = np.array([(np.where(grade == j + 1, a, 0) - np.where(grade == j, b, 0)) @ (1 / p) / n for j in range(k)])
-        g = [np.bincount(col, weights=gs[row], minlength=len(w)) + decay * w, np.array([gt.sum(), gt[1] * np.exp(t[1])])]
+        g = [np.bincount(col, weights=gs[row], minlength=len(w)) + decay / n * w, np.array([gt.sum(), gt[1] * np.exp(t[1])])]
         for i, x in enumerate((w, t)):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
