@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 LONGEST_KEPT = 48
 TEXTS_AT_ONCE, TEXT_CHARS = 1000, 2_000_000
-_CALL = 4096
+_CALL = 512
 
 
 class _Held(dict):
