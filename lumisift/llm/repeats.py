@@ -307,7 +307,7 @@ def cut_words(words: list[bytes], spans: list[bytes]) -> list[bytes]:
 def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = RUN, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and the kept text if asked for, of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("xxhash64(coalesce(cast(text as string), '')) & 4294967295").alias("own"), F.col("text").cast("string").alias("text"))
-    buckets = partitions_for(docs)
+    buckets = partitions_for(docs) * 3 // 2  # super-k-mers hold about three times their text
     marked = gather(scatter(rows, buckets, k, m, hot_runs(rows, buckets, k, m)), buckets, k)
     spans = marked.groupBy("doc_id", "own").agg(F.collect_list("spans").alias("spans"))  # one document's, bounded by its length
     joined = rows.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.own") == F.col("s.own")), "left").select("d.doc_id", "d.text", "s.spans")
