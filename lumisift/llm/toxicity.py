@@ -14,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -158,7 +159,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
         features = Features(model.index())
         weights = model.weights.tolist()
         for b in it:
-            score = np.array([sum(map(weights.__getitem__, sorted(features(t)))) for t in texts_as_bytes(b.column(1))], float)
+            score = np.array([math.fsum(map(weights.__getitem__, features(t))) for t in texts_as_bytes(b.column(1))], float)
             up = model.above(score)
             p = -np.diff(np.hstack([np.ones((len(up), 1)), up, np.zeros((len(up), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (up.sum(1), up[:, 0], p.argmax(1).astype(np.int32), up[:, 0] > 0.5))], schema=schema)
@@ -177,7 +178,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         weights = model.weights.tolist()
         at = cols.index("text")
         for b in it:
-            score = np.array([sum(map(weights.__getitem__, sorted(features(t)))) for t in texts_as_bytes(b.column(at))], float)
+            score = np.array([math.fsum(map(weights.__getitem__, features(t))) for t in texts_as_bytes(b.column(at))], float)
             yield b.filter(pa.array(model.above(score)[:, 0] <= 0.5))
 
     return docs.mapInArrow(run, out)
