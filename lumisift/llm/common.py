@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumisift.operators.graph import components, discard, shared_dir, written
 
-__all__ = ["by_id", "components", "discard", "forest", "partitions_for", "shared_dir", "table", "texts_as_bytes", "written"]
+__all__ = ["by_id", "components", "discard", "forest", "give_back", "in_slices", "partitions_for", "shared_dir", "table", "texts_as_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,24 @@ def by_id(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange(partitions_for(docs), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
 
+ROWS_AT_ONCE = 500
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time, so that few texts are Python objects at once; at the end give_back()."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: its worker stays for other tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

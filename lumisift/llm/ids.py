@@ -4,7 +4,7 @@ The tokenizer splits a text into pieces and encodes each by itself, so a text's
 Pieces new to a worker are encoded by the tokenizers library, many in one call with line feeds between them (no
 other piece holds the line feed's id), and kept up to a bound of pieces, long ones left out. Texts with special
 strings, or with characters for which Python's pattern engine might split otherwise, go through the library whole.
-A call takes texts of about TEXT_CHARS characters, whatever the batch they come in.
+A call takes texts of about TEXT_CHARS bytes, whatever the batch they come in.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 LONGEST_KEPT = 48
-TEXTS_AT_ONCE, TEXT_CHARS = 1000, 2_000_000
+TEXTS_AT_ONCE, TEXT_CHARS = 1000, 1_000_000
 _CALL = 512
 
 
@@ -103,7 +103,7 @@ def encoder(path: str) -> Encoder:
 
 
 def groups_of(batch: pa.RecordBatch, text: int, most: int = TEXTS_AT_ONCE, chars: int = TEXT_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts, in column `text`, have together at most about so many characters; one at least."""
+    """Slices of a batch whose texts, in column `text`, have together at most so many bytes; one at least."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.cumsum(size), 0
     while at < batch.num_rows:

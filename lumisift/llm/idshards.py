@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import by_id, table, written
+from lumisift.llm.common import by_id, give_back, table, written
 from lumisift.llm.ids import encoder, groups_of, texts_of
 
 BLOCK, LANES = 1024, 16
@@ -182,6 +182,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
                         held_ids, held, size = [], [], 0
         if held:
             yield flush()
+        give_back()
 
     return written(by_id(docs).mapInArrow(run, "part int, seq int, before long, n_ids long, shard binary"), "ids")
 

@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import table, texts_as_bytes, written
+from lumisift.llm.common import in_slices, table, texts_as_bytes, written
 
 FRAME, SIDE, RATE, GOP = 192, 8, 25, 12
-ROWS_AT_ONCE = 1000
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"moof", b"traf", b"mvex"}
 MOST_NESTED = 64
 
@@ -232,7 +231,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, ROWS_AT_ONCE) for whole in it for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+        for b in in_slices(it):
             texts = texts_as_bytes(b.column(1))
             media = [mux(t.ljust(max(1, -(-len(t) // FRAME)) * FRAME)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], schema=schema)
@@ -288,10 +287,9 @@ def media_features(rows: DataFrame) -> DataFrame:
     keyframe byte ranges, and of every track the same ranges (tracks)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for b in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
-                cols = list(zip(*map(_features, b.column(2).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(_FEATURES)[2:], strict=True))], schema=_FEATURES)
+        for b in in_slices(it):
+            cols = list(zip(*map(_features, b.column(2).to_pylist()), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(_FEATURES)[2:], strict=True))], schema=_FEATURES)
 
     return rows.select("doc_id", "n_bytes", "media").mapInArrow(run, _KIND)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisift.llm.common import by_id, table
+from lumisift.llm.common import by_id, give_back, table
 from lumisift.llm.ids import encoder, groups_of, texts_of
 
 WIDTH = 2048
@@ -148,6 +148,7 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH,
                         doc_ids, held, size = [], [], 0
         if held:
             yield flush()[0]
+        give_back()
 
     return by_id(docs).mapInArrow(run, SCHEMA)
 

@@ -34,14 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import partitions_for, table
+from lumisift.llm.common import give_back, in_slices, partitions_for, table
 
 WINDOW = 20
 RUN = 3
 LEVEL = 3
 FLUSH_BYTES = 32 << 20
 WORDS_HELD = 200_000
-ROWS_AT_ONCE = 500
 SAMPLE_TEXTS = 2_000  # for hot runs; or SAMPLE_A_BUCKET for each bucket, if more
 SAMPLE_A_BUCKET = 16
 HOT_RUNS = 65_536
@@ -175,13 +174,12 @@ def hot_runs(rows: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN) -> np
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _worker_words()
-        for whole in it:
-            for b in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
-                lists = [w for t in b.column(0).cast(pa.binary()).to_pylist() if t and len(w := t.split()) >= k]
-                if lists:
-                    run_, n = np.unique(np.concatenate([runs_of(words_of.hashes(w), m) for w in lists]), return_counts=True)
-                    all_ = [pa.array([None, *run_.view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n.tolist()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(all_, schema=schema)
+        for b in in_slices(it):
+            lists = [w for t in b.column(0).cast(pa.binary()).to_pylist() if t and len(w := t.split()) >= k]
+            if lists:
+                run_, n = np.unique(np.concatenate([runs_of(words_of.hashes(w), m) for w in lists]), return_counts=True)
+                all_ = [pa.array([None, *run_.view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n.tolist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(all_, schema=schema)
 
     counts = texts.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
     most = counts.orderBy(F.desc("n"), F.asc_nulls_first("run")).limit(HOT_RUNS + 1).collect()  # the null row, all runs, is first
@@ -211,39 +209,38 @@ def scatter(docs: DataFrame, buckets: int, k: int = WINDOW, m: int = RUN, hot: n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((part, none, none, none, blobs), _OUT, strict=True)], schema=_OUT)
             size = 0
 
-        for whole in it:
-            for b in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
-                local: dict[tuple[int, int], list[int]] = {}
-                for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                    words = (text or b"").split()
-                    if len(words) < k:
+        for b in in_slices(it):
+            local: dict[tuple[int, int], list[int]] = {}
+            for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                words = (text or b"").split()
+                if len(words) < k:
+                    continue
+                doc = _NONE if doc is None else doc
+                packed = b" ".join(words)
+                edge = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                minis, firsts, counts, often = super_kmers(words_of.hashes(words), k, m, hot)
+                s, e = (edge[firsts] - [len(words[i]) + 1 for i in firsts.tolist()]).tolist(), (edge[firsts + counts + k - 2] - 1).tolist()
+                head = np.zeros(len(minis), _HEAD)
+                head["mini"], head["doc"], head["own"], head["start"] = minis, doc, own, firsts
+                head["windows"], head["size"] = counts | np.where(often, _OFTEN, 0), np.array(e) - np.array(s)
+                raw, wide = head.tobytes(), _HEAD.itemsize
+                for i, (to, f, x, y) in enumerate(zip((minis % np.uint64(buckets)).tolist(), firsts.tolist(), s, e, strict=True)):
+                    t = packed[x:y]
+                    was = seen.get(t)
+                    if was is not None and was < (doc, f):
+                        local.setdefault((doc, own), []).extend(range(f, f + int(counts[i])))
+                        continue
+                    if was == (doc, f, own):  # a row met twice
                         continue
-                    doc = _NONE if doc is None else doc
-                    packed = b" ".join(words)
-                    edge = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    minis, firsts, counts, often = super_kmers(words_of.hashes(words), k, m, hot)
-                    s, e = (edge[firsts] - [len(words[i]) + 1 for i in firsts.tolist()]).tolist(), (edge[firsts + counts + k - 2] - 1).tolist()
-                    head = np.zeros(len(minis), _HEAD)
-                    head["mini"], head["doc"], head["own"], head["start"] = minis, doc, own, firsts
-                    head["windows"], head["size"] = counts | np.where(often, _OFTEN, 0), np.array(e) - np.array(s)
-                    raw, wide = head.tobytes(), _HEAD.itemsize
-                    for i, (to, f, x, y) in enumerate(zip((minis % np.uint64(buckets)).tolist(), firsts.tolist(), s, e, strict=True)):
-                        t = packed[x:y]
-                        was = seen.get(t)
-                        if was is not None and was < (doc, f):
-                            local.setdefault((doc, own), []).extend(range(f, f + int(counts[i])))
-                            continue
-                        if was == (doc, f, own):  # a row met twice
-                            continue
-                        seen[t] = (doc, f, own)
-                        heads[to].append(raw[i * wide : (i + 1) * wide])
-                        texts[to].append(t)
-                        size += len(t) + wide
-                    if size > FLUSH_BYTES:
-                        yield from flush()
-                if local:
-                    rows = [((d ^ o) % buckets, None if d == _NONE else d, o, np.array(_spans(at, k), "<u4").tobytes(), None) for (d, o), at in local.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
+                    seen[t] = (doc, f, own)
+                    heads[to].append(raw[i * wide : (i + 1) * wide])
+                    texts[to].append(t)
+                    size += len(t) + wide
+                if size > FLUSH_BYTES:
+                    yield from flush()
+            if local:
+                rows = [((d ^ o) % buckets, None if d == _NONE else d, o, np.array(_spans(at, k), "<u4").tobytes(), None) for (d, o), at in local.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
         yield from flush()
 
     return docs.mapInArrow(run, OUT)
@@ -290,6 +287,7 @@ def gather(rows: DataFrame, buckets: int, k: int = WINDOW) -> DataFrame:
                 texts.append(raw[after:])
         if heads:
             yield from mark()
+        give_back()
 
     return rows.repartitionById(buckets, "bucket").mapInArrow(run, "doc_id long, own long, spans binary")
 
@@ -315,7 +313,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = RUN, with_text: b
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if with_text else [])])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_slices(it):
             n, gone, sha, kept_text = [], [], [], []
             for text, s in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (text or b"").split()

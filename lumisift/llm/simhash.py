@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import components, forest, partitions_for, table, texts_as_bytes, written
+from lumisift.llm.common import components, forest, in_slices, partitions_for, table, texts_as_bytes, written
 
 SEED = 42
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_slices(it):
             fp = np.array([fingerprint(t, shingle) for t in texts_as_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], schema=schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import table, texts_as_bytes
+from lumisift.llm.common import in_slices, table, texts_as_bytes
 
 SAMPLE_ROWS = 8_000
 FEATURES = 4_096
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in it:
+        for b in in_slices(it):
             words = [np.array(sorted(features(t)), "<u4").tobytes() for t in texts_as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], schema=schema)
 
@@ -158,7 +158,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.index())
         weights = model.weights.tolist()
-        for b in it:
+        for b in in_slices(it):
             score = np.array([math.fsum(map(weights.__getitem__, features(t))) for t in texts_as_bytes(b.column(1))], float)
             up = model.above(score)
             p = -np.diff(np.hstack([np.ones((len(up), 1)), up, np.zeros((len(up), 1))]), axis=1)
@@ -177,7 +177,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         features = Features(model.index())
         weights = model.weights.tolist()
         at = cols.index("text")
-        for b in it:
+        for b in in_slices(it):
             score = np.array([math.fsum(map(weights.__getitem__, features(t))) for t in texts_as_bytes(b.column(at))], float)
             yield b.filter(pa.array(model.above(score)[:, 0] <= 0.5))
 
