@@ -42,12 +42,14 @@ _RANK = "CASE suggestion WHEN 'remove' THEN 0 WHEN 'review' THEN 1 WHEN 'unreada
 _READABLE = "coalesce(error, '') = '' AND suggestion <> 'unreadable'"
 
 
-@query(f"WITH {A.V_DOC} SELECT id, relative_path, suggestion, decision FROM v_doc WHERE status = 'active' AND {_READABLE} ORDER BY {_RANK}, relative_path LIMIT 200")
+@query(f"""WITH {A.V_DOC} SELECT id, relative_path, suggestion, decision FROM v_doc WHERE status = 'active' AND {_READABLE} ORDER BY {_RANK},
+ relative_path LIMIT 200""")
 def library_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.page(A.docs_as_photos(spark, sf_dir), library.library_filter()).select("id", "relative_path", "suggestion", "decision")
 
 
-@query(f"WITH {A.V_DOC} SELECT id, relative_path, suggestion FROM v_doc WHERE status = 'active' AND {_READABLE} AND decision IN ('', 'keep') AND suggestion IN ('remove', 'review') AND relative_path ILIKE '%SRC1%/en%' ORDER BY {_RANK}, relative_path LIMIT 50 OFFSET 5")
+@query(f"""WITH {A.V_DOC} SELECT id, relative_path, suggestion FROM v_doc WHERE status = 'active' AND {_READABLE} AND decision IN ('', 'keep') AND
+ suggestion IN ('remove', 'review') AND relative_path ILIKE '%SRC1%/en%' ORDER BY {_RANK}, relative_path LIMIT 50 OFFSET 5""")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = library.library_filter("undecided,keep", "remove,review")
     return library.page(A.docs_as_photos(spark, sf_dir), where, "SRC1%/en", 50, 5).select("id", "relative_path", "suggestion")
@@ -59,15 +61,21 @@ def library_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.V_DOC}, a AS (SELECT *, status = 'active' AS act, {_READABLE} AS ok FROM v_doc)
-SELECT count(*) FILTER (act) AS total, count(*) FILTER (act AND suggestion = 'keep') AS ai_keep, count(*) FILTER (act AND suggestion = 'review') AS ai_review, count(*) FILTER (act AND suggestion = 'remove') AS ai_remove,
- count(*) FILTER (act AND NOT ok) AS unreadable, count(*) FILTER (act AND decision = '') AS decision_undecided, count(*) FILTER (act AND decision = 'keep') AS decision_keep, count(*) FILTER (act AND decision = 'remove') AS decision_remove,
- count(*) FILTER (act AND ok) AS readable, count(*) FILTER (act AND ok AND decision = '' AND suggestion IN ('remove', 'review')) AS library_ai, count(*) FILTER (act AND ok AND decision = '') AS library_undecided,
- count(*) FILTER (act AND ok AND decision = 'keep') AS library_keep, count(*) FILTER (act AND ok AND decision = 'remove') AS library_remove, count(*) FILTER (act AND ok AND decision = '' AND suggestion = 'remove') AS ai_remove_pending, count(*) FILTER (act AND suggestion = 'unreadable') AS ai_unreadable FROM a""")
+SELECT count(*) FILTER (act) AS total, count(*) FILTER (act AND suggestion = 'keep') AS ai_keep, count(*) FILTER (act AND suggestion =
+ 'review') AS ai_review, count(*) FILTER (act AND suggestion = 'remove') AS ai_remove,
+count(*) FILTER (act AND NOT ok) AS unreadable, count(*) FILTER (act AND decision = '') AS decision_undecided, count(*) FILTER (act AND
+ decision = 'keep') AS decision_keep, count(*) FILTER (act AND decision = 'remove') AS decision_remove,
+count(*) FILTER (act AND ok) AS readable, count(*) FILTER (act AND ok AND decision = '' AND suggestion IN ('remove', 'review')) AS
+ library_ai, count(*) FILTER (act AND ok AND decision = '') AS library_undecided,
+count(*) FILTER (act AND ok AND decision = 'keep') AS library_keep, count(*) FILTER (act AND ok AND decision = 'remove') AS library_remove,
+ count(*) FILTER (act AND ok AND decision = '' AND suggestion = 'remove') AS ai_remove_pending, count(*) FILTER (act AND suggestion =
+ 'unreadable') AS ai_unreadable FROM a""")
 def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.counts(A.docs_as_photos(spark, sf_dir))
 
 
-@query(f"""WITH {A.V_DOC}, act AS (SELECT * FROM v_doc WHERE status = 'active') SELECT (SELECT count(*) FROM act) AS total, (SELECT count(*) FROM act WHERE decision = 'keep') AS kept,
+@query(f"""WITH {A.V_DOC}, act AS (SELECT * FROM v_doc WHERE status = 'active') SELECT (SELECT count(*) FROM act) AS total, (SELECT count(*)
+ FROM act WHERE decision = 'keep') AS kept,
  (SELECT id FROM act WHERE error = '' AND thumbnail <> '' ORDER BY CASE WHEN decision = 'keep' THEN 0 ELSE 1 END, mtime DESC, id DESC LIMIT 1) AS cover_id""")
 def recent_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.recent_project(A.docs_as_photos(spark, sf_dir))
@@ -80,7 +88,8 @@ def photo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- scores and classification
 
-_SCORE = """(ln(1 + greatest(0, coalesce(sharpness, 0))) / 10 * 0.45 + (1 - least(1.0, abs(coalesce(nullif(luminance, 0), 128) - 110) / 140 + coalesce(dark_clip, 0) + coalesce(bright_clip, 0))) * 0.25
+_SCORE = """(ln(1 + greatest(0, coalesce(sharpness, 0))) / 10 * 0.45 + (1 - least(1.0, abs(coalesce(nullif(luminance, 0), 128) - 110) / 140
+ + coalesce(dark_clip, 0) + coalesce(bright_clip, 0))) * 0.25
  + least(1.0, coalesce(contrast, 0) / 70) * 0.12 + least(1.0, coalesce(entropy, 0) / 8) * 0.10 + least(1.0, coalesce(megapixels, 0) / 12) * 0.08)"""
 
 
@@ -103,19 +112,22 @@ def _classified(q, sharp_remove: str | None = None, sharp_review: str | None = N
     pick = lambda k: "list_filter([" + ", ".join(f"CASE WHEN {rules[r][k]} THEN '{quality.REASONS[r][k]}' END" for r in rules) + "], lambda x: x IS NOT NULL)"
     need = 2 if q.match_mode == "all" else 1
     return f"""c0 AS (SELECT *, {pick(0)} AS severe, {pick(1)} AS mild FROM src), classified AS (SELECT *, CASE WHEN error <> '' THEN 'unreadable' WHEN len(severe) >= {need} THEN 'remove' WHEN len(severe) + len(mild) > 0 THEN 'review' ELSE 'keep' END AS suggestion,
- CASE WHEN error <> '' THEN '{quality.UNREADABLE}' WHEN len(severe) >= {need} THEN array_to_string(severe, '、') ELSE array_to_string(list_concat(mild, severe), '、') END AS reason FROM c0)"""
+CASE WHEN error <> '' THEN '{quality.UNREADABLE}' WHEN len(severe) >= {need} THEN array_to_string(severe, '、') ELSE
+ array_to_string(list_concat(mild, severe), '、') END AS reason FROM c0)"""
 
 
 def _out(df: DataFrame) -> DataFrame:
     return df.select("id", "suggestion", "reason", r6("quality_score"))
 
 
-@query(f"WITH {A.V_ORD}, src AS (SELECT * FROM v_ord), {_classified(CONSERVATIVE.quality)} SELECT id, suggestion, reason, round({_SCORE}, 6) AS quality_score FROM classified")
+@query(f"""WITH {A.V_ORD}, src AS (SELECT * FROM v_ord), {_classified(CONSERVATIVE.quality)} SELECT id, suggestion, reason, round({_SCORE}, 6) AS
+ quality_score FROM classified""")
 def classify_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(quality.classify(A.orders_as_photos(spark, sf_dir), CONSERVATIVE))
 
 
-@query(f"WITH {A.V_ORD}, src AS (SELECT * FROM v_ord), {_classified(ALL.quality)} SELECT id, suggestion, reason, round({_SCORE}, 6) AS quality_score FROM classified")
+@query(f"""WITH {A.V_ORD}, src AS (SELECT * FROM v_ord), {_classified(ALL.quality)} SELECT id, suggestion, reason, round({_SCORE}, 6) AS quality_score
+ FROM classified""")
 def classify_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(quality.classify(A.orders_as_photos(spark, sf_dir), ALL))
 
@@ -123,7 +135,8 @@ def classify_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PCT = "p AS (SELECT quantile_cont(sharpness, 0.06) AS sharp_remove, quantile_cont(sharpness, 0.15) AS sharp_review FROM v_ord WHERE status = 'active')"
 
 
-@query(f"WITH {A.V_ORD}, {_PCT}, src AS (SELECT * FROM v_ord, p), {_classified(PERCENT.quality, 'sharp_remove', 'sharp_review')} SELECT id, suggestion, reason, round({_SCORE}, 6) AS quality_score FROM classified")
+@query(f"""WITH {A.V_ORD}, {_PCT}, src AS (SELECT * FROM v_ord, p), {_classified(PERCENT.quality, 'sharp_remove', 'sharp_review')} SELECT id,
+ suggestion, reason, round({_SCORE}, 6) AS quality_score FROM classified""")
 def classify_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(quality.classify(A.orders_as_photos(spark, sf_dir), PERCENT))
 
@@ -133,7 +146,9 @@ def sharpness_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sharpness_percentiles(A.orders_as_photos(spark, sf_dir), BALANCED.quality).select(r6("sharp_remove"), r6("sharp_review"))
 
 
-@query(f"WITH {A.V_ORD}, src AS (SELECT * FROM v_ord WHERE status = 'active'), {_classified(BALANCED.quality)} SELECT count(*) FILTER (suggestion = 'keep') AS keep, count(*) FILTER (suggestion = 'review') AS review, count(*) FILTER (suggestion = 'remove') AS remove, count(*) FILTER (suggestion = 'unreadable') AS unreadable FROM classified")
+@query(f"""WITH {A.V_ORD}, src AS (SELECT * FROM v_ord WHERE status = 'active'), {_classified(BALANCED.quality)} SELECT count(*) FILTER (suggestion =
+ 'keep') AS keep, count(*) FILTER (suggestion = 'review') AS review, count(*) FILTER (suggestion = 'remove') AS remove, count(*) FILTER
+ (suggestion = 'unreadable') AS unreadable FROM classified""")
 def estimate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.estimate(A.orders_as_photos(spark, sf_dir), BALANCED)
 
@@ -146,17 +161,21 @@ def display_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rasters
 
 
-@query(f"WITH {A.V_PX} SELECT id, round(avg(v), 3) AS luminance, round(stddev_pop(v), 3) AS contrast, round(count(*) FILTER (v <= 8) / 64.0::DOUBLE, 5) AS dark_clip, round(count(*) FILTER (v >= 247) / 64.0::DOUBLE, 5) AS bright_clip FROM x_px GROUP BY id")
+@query(f"""WITH {A.V_PX} SELECT id, round(avg(v), 3) AS luminance, round(stddev_pop(v), 3) AS contrast, round(count(*) FILTER (v <= 8) / 64.0::DOUBLE,
+ 5) AS dark_clip, round(count(*) FILTER (v >= 247) / 64.0::DOUBLE, 5) AS bright_clip FROM x_px GROUP BY id""")
 def raster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.metrics(A.vectors_as_rasters(spark, sf_dir))
 
 
-@query(f"WITH {A.V_PX}, lap AS (SELECT id, unnest(list_filter(range(64), lambda i: i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6)) AS i, gray FROM v_px), l AS (SELECT id, gray[i] + gray[i + 2] + gray[i + 1 - 8] + gray[i + 1 + 8] - 4 * gray[i + 1] AS v FROM lap) SELECT id, round((sum(v * v) * 36 - sum(v) * sum(v))::DOUBLE / 1296, 3) AS sharpness FROM l GROUP BY id")
+@query(f"""WITH {A.V_PX}, lap AS (SELECT id, unnest(list_filter(range(64), lambda i: i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6)) AS i, gray FROM
+ v_px), l AS (SELECT id, gray[i] + gray[i + 2] + gray[i + 1 - 8] + gray[i + 1 + 8] - 4 * gray[i + 1] AS v FROM lap) SELECT id, round((sum(v
+ * v) * 36 - sum(v) * sum(v))::DOUBLE / 1296, 3) AS sharpness FROM l GROUP BY id""")
 def raster_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.sharpness(A.vectors_as_rasters(spark, sf_dir), 8, 8)
 
 
-@query(f"WITH {A.V_PX}, h AS (SELECT id, v, count(*) / 64.0::DOUBLE AS p FROM x_px GROUP BY id, v) SELECT id, round(-sum(p * log2(p)), 4) AS entropy FROM h GROUP BY id")
+@query(f"""WITH {A.V_PX}, h AS (SELECT id, v, count(*) / 64.0::DOUBLE AS p FROM x_px GROUP BY id, v) SELECT id, round(-sum(p * log2(p)), 4) AS entropy
+ FROM h GROUP BY id""")
 def raster_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.entropy(A.vectors_as_rasters(spark, sf_dir))
 
@@ -170,7 +189,12 @@ def raster_dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("id", F.lpad(F.lower(F.hex(raster.dhash(F.col("gray")))), 16, "0").alias("dhash"))
 
 
-@query(f"WITH {A.V_PX}, f AS (SELECT id, gray, list_transform(range(4), lambda k: list_transform(range(64), lambda i: gray[(i + k) % 64 + 1]::DOUBLE)) AS fs, list_transform(range(64), lambda i: gray[(i + 2) % 64 + 1]::DOUBLE) AS still FROM v_px), e AS (SELECT id, still, unnest(fs) AS v, unnest(range(4)) AS frame FROM f), z AS (SELECT id, frame, list_transform(v, lambda x: (x - list_avg(v)) / greatest(1, list_stddev_pop(v))) AS a, list_transform(still, lambda x: (x - list_avg(still)) / greatest(1, list_stddev_pop(still))) AS b FROM e), m AS (SELECT id, frame, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 64, 9) AS mse FROM z) SELECT id, arg_min(frame, mse) AS frame, round(min(mse), 6) AS mse FROM m GROUP BY id")
+@query(f"""WITH {A.V_PX}, f AS (SELECT id, gray, list_transform(range(4), lambda k: list_transform(range(64), lambda i: gray[(i + k) % 64 +
+ 1]::DOUBLE)) AS fs, list_transform(range(64), lambda i: gray[(i + 2) % 64 + 1]::DOUBLE) AS still FROM v_px), e AS (SELECT id, still,
+ unnest(fs) AS v, unnest(range(4)) AS frame FROM f), z AS (SELECT id, frame, list_transform(v, lambda x: (x - list_avg(v)) / greatest(1,
+ list_stddev_pop(v))) AS a, list_transform(still, lambda x: (x - list_avg(still)) / greatest(1, list_stddev_pop(still))) AS b FROM e), m AS
+ (SELECT id, frame, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 64, 9) AS mse FROM z) SELECT
+ id, arg_min(frame, mse) AS frame, round(min(mse), 6) AS mse FROM m GROUP BY id""")
 def still_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = A.vectors_as_rasters(spark, sf_dir)
     turned = "transform(sequence(0, 63), i -> cast(gray[(i + k) % 64] as double))"
@@ -192,14 +216,17 @@ def size_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.size_groups(A.docs_as_photos(spark, sf_dir))
 
 
-@query(f"WITH {A.V_DOC}, u AS (SELECT * FROM v_doc WHERE status = 'active' AND error = '') SELECT id, sha256(text) AS sha256 FROM v_doc WHERE status = 'active' AND size IN (SELECT size FROM u GROUP BY size HAVING count(*) > 1)")
+@query(f"""WITH {A.V_DOC}, u AS (SELECT * FROM v_doc WHERE status = 'active' AND error = '') SELECT id, sha256(text) AS sha256 FROM v_doc WHERE status
+ = 'active' AND size IN (SELECT size FROM u GROUP BY size HAVING count(*) > 1)""")
 def exact_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.hash_candidates(A.docs_as_photos(spark, sf_dir).withColumn("sha256", F.lit("")), "text")
 
 
 _STAR = f"""u AS (SELECT id, sha256, {_SCORE} AS q FROM v_doc WHERE status = 'active' AND error = '' AND sha256 <> ''),
-best AS (SELECT id AS best, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY q DESC, id) AS rn, count(*) OVER (PARTITION BY sha256) AS n FROM u) WHERE rn = 1 AND n > 1),
-star AS (SELECT least(id, best) AS a_id, greatest(id, best) AS b_id, 1.0::DOUBLE AS score, 'exact' AS kind, best AS recommended_id FROM u JOIN best USING (sha256) WHERE id <> best)"""
+best AS (SELECT id AS best, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY q DESC, id) AS rn, count(*) OVER
+ (PARTITION BY sha256) AS n FROM u) WHERE rn = 1 AND n > 1),
+star AS (SELECT least(id, best) AS a_id, greatest(id, best) AS b_id, 1.0::DOUBLE AS score, 'exact' AS kind, best AS recommended_id FROM u
+ JOIN best USING (sha256) WHERE id <> best)"""
 
 
 @query(f"WITH {A.V_DOC}, {_STAR} SELECT * FROM star")
@@ -233,9 +260,12 @@ def similar_pairs_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(photos, none, LOOSE, ids).select("a_id", "b_id", r6("score"), "kind")
 
 
-@query(f"""WITH {A.V_HASH}, old AS (SELECT a_id, b_id, 0.5::DOUBLE AS score, CASE WHEN (a_id + b_id) % 7 = 0 THEN 'exact' ELSE 'similar' END AS kind FROM v_edges),
-kept AS (SELECT * FROM old WHERE kind = 'exact' OR NOT (a_id % 3 = 0 OR b_id % 3 = 0)), fresh AS (SELECT a_id, b_id, score, 'similar' AS kind FROM v_edges WHERE a_id % 3 = 0 OR b_id % 3 = 0)
-SELECT a_id, b_id, round(score, 6) AS score, kind FROM (SELECT * FROM kept UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.a_id = f.a_id AND k.b_id = f.b_id))""")
+@query(f"""WITH {A.V_HASH}, old AS (SELECT a_id, b_id, 0.5::DOUBLE AS score, CASE WHEN (a_id + b_id) % 7 = 0 THEN 'exact' ELSE 'similar' END
+ AS kind FROM v_edges),
+kept AS (SELECT * FROM old WHERE kind = 'exact' OR NOT (a_id % 3 = 0 OR b_id % 3 = 0)), fresh AS (SELECT a_id, b_id, score, 'similar' AS
+ kind FROM v_edges WHERE a_id % 3 = 0 OR b_id % 3 = 0)
+SELECT a_id, b_id, round(score, 6) AS score, kind FROM (SELECT * FROM kept UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM
+ kept k WHERE k.a_id = f.a_id AND k.b_id = f.b_id))""")
 def partial_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
     old = edges.select("a_id", "b_id", F.lit(0.5).alias("score"), F.when((F.col("a_id") + F.col("b_id")) % 7 == 0, "exact").otherwise("similar").alias("kind"))
@@ -243,20 +273,24 @@ def partial_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.replace_partial(old, fresh, photos.where("id % 3 = 0").select("id")).select("a_id", "b_id", r6("score"), "kind")
 
 
-@query(f"WITH {A.V_HASH}, t AS (SELECT id FROM v_hash WHERE id % 10 = 0) SELECT id FROM t UNION SELECT b_id FROM v_edges WHERE a_id IN (SELECT id FROM t) UNION SELECT a_id FROM v_edges WHERE b_id IN (SELECT id FROM t)")
+@query(f"""WITH {A.V_HASH}, t AS (SELECT id FROM v_hash WHERE id % 10 = 0) SELECT id FROM t UNION SELECT b_id FROM v_edges WHERE a_id IN (SELECT id
+ FROM t) UNION SELECT a_id FROM v_edges WHERE b_id IN (SELECT id FROM t)""")
 def edge_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
     return similarity.neighbourhood(edges, photos.where("id % 10 = 0").select("id"))
 
 
-@query(f"WITH {A.V_HASH}, l AS (SELECT id, id % 3 <> 1 AS live FROM v_hash) SELECT a_id, b_id FROM v_edges WHERE a_id IN (SELECT id FROM l WHERE live) AND b_id IN (SELECT id FROM l WHERE live)")
+@query(f"""WITH {A.V_HASH}, l AS (SELECT id, id % 3 <> 1 AS live FROM v_hash) SELECT a_id, b_id FROM v_edges WHERE a_id IN (SELECT id FROM l WHERE
+ live) AND b_id IN (SELECT id FROM l WHERE live)""")
 def active_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
     return similarity.active_edges(edges, photos.withColumn("status", F.when(F.col("id") % 3 == 1, "missing").otherwise("active"))).select("a_id", "b_id")
 
 
-@query(f"""WITH {A.V_SHOT}, j AS (SELECT a.id AS a_id, b.id AS b_id, b.position AS bp, CASE WHEN abs(a.sequence - b.sequence) <= 50 OR abs(epoch_us(a.taken) - epoch_us(b.taken)) / 60e6 <= 45 THEN 1 ELSE 0 END AS near
- FROM v_shot a JOIN v_shot b ON a.dir = b.dir AND b.position > a.position), w AS (SELECT *, min(near) OVER (PARTITION BY a_id ORDER BY bp ROWS UNBOUNDED PRECEDING) AS run FROM j) SELECT a_id, b_id FROM w WHERE run = 1""")
+@query(f"""WITH {A.V_SHOT}, j AS (SELECT a.id AS a_id, b.id AS b_id, b.position AS bp, CASE WHEN abs(a.sequence - b.sequence) <= 50 OR
+ abs(epoch_us(a.taken) - epoch_us(b.taken)) / 60e6 <= 45 THEN 1 ELSE 0 END AS near
+FROM v_shot a JOIN v_shot b ON a.dir = b.dir AND b.position > a.position), w AS (SELECT *, min(near) OVER (PARTITION BY a_id ORDER BY bp
+ ROWS UNBOUNDED PRECEDING) AS run FROM j) SELECT a_id, b_id FROM w WHERE run = 1""")
 def nearby_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearby_pairs(A.events_as_shots(spark, sf_dir), BALANCED.similarity)
 
@@ -264,9 +298,13 @@ def nearby_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- groups
 
 _GROUPS = f"""RECURSIVE {A.V_HASH}, both_ AS (SELECT a_id AS p, b_id AS q, score FROM v_edges UNION ALL SELECT b_id, a_id, score FROM v_edges),
-reach(node, root) AS (SELECT DISTINCT p, p FROM both_ UNION SELECT b.q, r.root FROM reach r JOIN both_ b ON b.p = r.node), comp AS (SELECT node AS id, min(root) AS component FROM reach GROUP BY node),
-src AS (SELECT h.id, c.component, h.dir || '/' || h.id::VARCHAR || '.jpg' AS relative_path, sharp::DOUBLE AS sharpness, 110::DOUBLE AS luminance, 40::DOUBLE AS contrast, 0::DOUBLE AS dark_clip, 0::DOUBLE AS bright_clip, 6::DOUBLE AS entropy, 2::DOUBLE AS megapixels FROM v_hash h JOIN comp c ON c.id = h.id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, -{_SCORE}, lower(relative_path), id) AS rank FROM src)"""
+reach(node, root) AS (SELECT DISTINCT p, p FROM both_ UNION SELECT b.q, r.root FROM reach r JOIN both_ b ON b.p = r.node), comp AS (SELECT
+ node AS id, min(root) AS component FROM reach GROUP BY node),
+src AS (SELECT h.id, c.component, h.dir || '/' || h.id::VARCHAR || '.jpg' AS relative_path, sharp::DOUBLE AS sharpness, 110::DOUBLE AS
+ luminance, 40::DOUBLE AS contrast, 0::DOUBLE AS dark_clip, 0::DOUBLE AS bright_clip, 6::DOUBLE AS entropy, 2::DOUBLE AS megapixels FROM
+ v_hash h JOIN comp c ON c.id = h.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END, -{_SCORE},
+ lower(relative_path), id) AS rank FROM src)"""
 
 
 @query(f"WITH {_GROUPS} SELECT component, id, rank FROM ranked")
@@ -276,7 +314,8 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.ranked(photos, groups.members(photos, edges), LOOSE).select("component", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_GROUPS}, widest(node, c) AS (SELECT id, 1.0::DOUBLE FROM ranked WHERE rank = 1 UNION SELECT b.q, least(w.c, b.score) FROM widest w JOIN both_ b ON b.p = w.node)
+@query(f"""WITH {_GROUPS}, widest(node, c) AS (SELECT id, 1.0::DOUBLE FROM ranked WHERE rank = 1 UNION SELECT b.q, least(w.c, b.score) FROM
+ widest w JOIN both_ b ON b.p = w.node)
 SELECT r.id, round(max(w.c), 6) AS confidence FROM ranked r JOIN widest w ON w.node = r.id GROUP BY r.id""")
 def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
@@ -284,7 +323,8 @@ def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.confidence(rows, edges).select("id", r6("confidence"))
 
 
-@query(f"""WITH {_GROUPS} SELECT component, 'similar' AS kind, arg_min(id, rank) AS recommended_id, array_to_string(list(id ORDER BY rank) FILTER (rank <= 4), ',') AS covers, count(*) AS size, bool_or(id % 2 = 0) AS any_even,
+@query(f"""WITH {_GROUPS} SELECT component, 'similar' AS kind, arg_min(id, rank) AS recommended_id, array_to_string(list(id ORDER BY rank)
+ FILTER (rank <= 4), ',') AS covers, count(*) AS size, bool_or(id % 2 = 0) AS any_even,
  concat('sg-', substr(sha1(array_to_string(list(id ORDER BY id), ',')), 1, 16)) AS group_id FROM ranked GROUP BY component""")
 def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, edges = _edges(spark, sf_dir)
@@ -292,7 +332,10 @@ def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("component", "kind", "recommended_id", F.array_join("covers", ",").alias("covers"), "size", F.exists("member_ids", lambda x: x % 2 == 0).alias("any_even"), "group_id")
 
 
-@query(f"WITH {A.V_DOC}, g AS (SELECT id // 4 AS group_id, list(id ORDER BY id) AS ids FROM v_doc GROUP BY 1), e AS (SELECT group_id, len(ids) AS n, unnest(ids) AS id FROM g), h AS (SELECT e.group_id, any_value(n) AS n, count(*) AS hit, list(v.relative_path ORDER BY e.id) AS paths FROM e JOIN v_doc v ON v.id = e.id AND v.status = 'active' GROUP BY 1) SELECT group_id, array_to_string(paths, ',') AS paths FROM h WHERE hit = n AND len(list_filter(paths, lambda p: contains(lower(p), 'src1/'))) > 0")
+@query(f"""WITH {A.V_DOC}, g AS (SELECT id // 4 AS group_id, list(id ORDER BY id) AS ids FROM v_doc GROUP BY 1), e AS (SELECT group_id, len(ids) AS n,
+ unnest(ids) AS id FROM g), h AS (SELECT e.group_id, any_value(n) AS n, count(*) AS hit, list(v.relative_path ORDER BY e.id) AS paths FROM e
+ JOIN v_doc v ON v.id = e.id AND v.status = 'active' GROUP BY 1) SELECT group_id, array_to_string(paths, ',') AS paths FROM h WHERE hit = n
+ AND len(list_filter(paths, lambda p: contains(lower(p), 'src1/'))) > 0""")
 def hydrated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = A.docs_as_photos(spark, sf_dir)
     topology = photos.groupBy(F.expr("id div 4").alias("group_id")).agg(F.array_sort(F.collect_list("id")).alias("member_ids"))
@@ -303,23 +346,34 @@ def hydrated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- faces
 
 
-@query(f"""WITH {A.V_FACE}, p AS (SELECT DISTINCT c_custkey AS photo_id FROM customer UNION SELECT photo_id FROM v_sure), s AS (SELECT photo_id, count(*) AS n, count(*) FILTER (state = 'closed') AS closed, count(*) FILTER (state = 'uncertain') AS unsure, min(evidence) AS least FROM v_sure GROUP BY photo_id)
-SELECT photo_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no_face' WHEN closed > 0 THEN 'closed' WHEN unsure = 0 THEN 'open' ELSE 'uncertain' END AS blink_status, coalesce(n, 0) AS blink_face_count, coalesce(closed, 0) AS blink_closed_face_count, coalesce(unsure, 0) AS blink_uncertain_face_count,
- CASE WHEN coalesce(n, 0) > coalesce(unsure, 0) THEN round_even(closed / (n - unsure)::DOUBLE, 6) ELSE -1 END AS blink_closed_ratio, round_even(coalesce(least, 0), 6) AS blink_confidence FROM p LEFT JOIN s USING (photo_id)""")
+@query(f"""WITH {A.V_FACE}, p AS (SELECT DISTINCT c_custkey AS photo_id FROM customer UNION SELECT photo_id FROM v_sure), s AS (SELECT
+ photo_id, count(*) AS n, count(*) FILTER (state = 'closed') AS closed, count(*) FILTER (state = 'uncertain') AS unsure, min(evidence) AS
+ least FROM v_sure GROUP BY photo_id)
+SELECT photo_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no_face' WHEN closed > 0 THEN 'closed' WHEN unsure = 0 THEN 'open' ELSE 'uncertain' END
+ AS blink_status, coalesce(n, 0) AS blink_face_count, coalesce(closed, 0) AS blink_closed_face_count, coalesce(unsure, 0) AS
+ blink_uncertain_face_count,
+CASE WHEN coalesce(n, 0) > coalesce(unsure, 0) THEN round_even(closed / (n - unsure)::DOUBLE, 6) ELSE -1 END AS blink_closed_ratio,
+ round_even(coalesce(least, 0), 6) AS blink_confidence FROM p LEFT JOIN s USING (photo_id)""")
 def blink_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = A.events_as_faces(spark, sf_dir)
     p = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("photo_id")).union(f.select("photo_id")).distinct()
     return faces.blink_rollup(f, p, Blink())
 
 
-@query(f"WITH {A.V_DOC}, {_STAR}, e AS (SELECT a_id, b_id, CASE WHEN a_id % 2 = 0 THEN 'similar' ELSE 'exact' END AS kind FROM star), n AS (SELECT a_id AS id FROM e WHERE kind = 'similar' UNION SELECT b_id FROM e WHERE kind = 'similar') SELECT id FROM v_doc WHERE status = 'active' AND error = '' AND thumbnail <> '' AND id IN (SELECT id FROM n)")
+@query(f"""WITH {A.V_DOC}, {_STAR}, e AS (SELECT a_id, b_id, CASE WHEN a_id % 2 = 0 THEN 'similar' ELSE 'exact' END AS kind FROM star), n AS (SELECT
+ a_id AS id FROM e WHERE kind = 'similar' UNION SELECT b_id FROM e WHERE kind = 'similar') SELECT id FROM v_doc WHERE status = 'active' AND
+ error = '' AND thumbnail <> '' AND id IN (SELECT id FROM n)""")
 def blink_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = A.docs_as_photos(spark, sf_dir)
     e = dedupe.exact_star(photos, BALANCED).withColumn("kind", F.when(F.col("a_id") % 2 == 0, "similar").otherwise("exact"))
     return faces.blink_candidates(photos, e).select("id")
 
 
-@query(f"WITH {A.V_FACE} SELECT count(*) FILTER (state = 'closed' AND p_right < 0.5) AS tp, count(*) FILTER (state = 'closed' AND NOT p_right < 0.5) AS fp, count(*) FILTER (state <> 'closed' AND p_right < 0.5) AS fn, round(count(*) FILTER (state = 'closed' AND p_right < 0.5) / count(*) FILTER (state = 'closed')::DOUBLE, 6) AS precision, round(count(*) FILTER (state = 'closed' AND p_right < 0.5) / count(*) FILTER (p_right < 0.5)::DOUBLE, 6) AS recall, round(count(*) FILTER (state <> 'uncertain') / count(*)::DOUBLE, 6) AS reliable_coverage, count(*) AS eligible_faces FROM v_sure")
+@query(f"""WITH {A.V_FACE} SELECT count(*) FILTER (state = 'closed' AND p_right < 0.5) AS tp, count(*) FILTER (state = 'closed' AND NOT p_right < 0.5)
+ AS fp, count(*) FILTER (state <> 'closed' AND p_right < 0.5) AS fn, round(count(*) FILTER (state = 'closed' AND p_right < 0.5) / count(*)
+ FILTER (state = 'closed')::DOUBLE, 6) AS precision, round(count(*) FILTER (state = 'closed' AND p_right < 0.5) / count(*) FILTER (p_right <
+ 0.5)::DOUBLE, 6) AS recall, round(count(*) FILTER (state <> 'uncertain') / count(*)::DOUBLE, 6) AS reliable_coverage, count(*) AS
+ eligible_faces FROM v_sure""")
 def blink_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = A.events_as_faces(spark, sf_dir)
     found = f.select("photo_id", "face_id", faces.face_state(Blink())[0].alias("status"))
@@ -328,7 +382,9 @@ def blink_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.evaluation(found, truth, m).select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("reliable_coverage"), "eligible_faces")
 
 
-@query("WITH e AS (SELECT user_id AS group_id, event_id, (event_id % 3) / 2.0::DOUBLE AS truth_ratio, (event_id * 7) % 10 AS k FROM events), g AS (SELECT group_id, arg_min(truth_ratio, (k, event_id)) AS picked, min(truth_ratio) AS best FROM e GROUP BY 1) SELECT count(*) FILTER (picked = best) AS successes, count(*) AS eligible_groups FROM g WHERE best = 0")
+@query("""WITH e AS (SELECT user_id AS group_id, event_id, (event_id % 3) / 2.0::DOUBLE AS truth_ratio, (event_id * 7) % 10 AS k FROM events), g AS
+ (SELECT group_id, arg_min(truth_ratio, (k, event_id)) AS picked, min(truth_ratio) AS best FROM e GROUP BY 1) SELECT count(*) FILTER (picked
+ = best) AS successes, count(*) AS eligible_groups FROM g WHERE best = 0""")
 def recommendation_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.table(spark, sf_dir, "events").selectExpr("user_id as group_id", "event_id", "(event_id % 3) / 2D as truth_ratio", "(event_id * 7) % 10 as k")
     return faces.recommendation_success(rows, [F.col("k"), F.col("event_id")])
@@ -352,9 +408,12 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr("relative_path", "size + if(id % 11 = 0, 1, 0) as size", "mtime + if(id % 7 = 0, 1D, 0D) as mtime").unionByName(more)
 
 
-_LISTING = "listing AS (SELECT relative_path, size + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS size, mtime + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS mtime FROM v_doc WHERE id % 13 <> 0 UNION ALL SELECT concat('new/', item_id::VARCHAR, '.jpg'), item_id, item_id::DOUBLE FROM benchmark)"
-_DIFF = """diff AS (SELECT coalesce(l.relative_path, s.relative_path) AS relative_path, s.id, CASE WHEN l.relative_path IS NULL THEN CASE WHEN s.status = 'active' THEN 'missing' END WHEN s.id IS NULL THEN 'new'
- WHEN NOT (l.size = s.size AND abs(l.mtime - s.mtime) < 0.001 AND s.error = '' AND s.thumbnail <> '') THEN 'reanalyse' WHEN s.status = 'active' THEN 'reuse' ELSE 'reactivate' END AS action FROM listing l FULL JOIN v_doc s ON s.relative_path = l.relative_path)"""
+_LISTING = """listing AS (SELECT relative_path, size + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS size, mtime + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS
+ mtime FROM v_doc WHERE id % 13 <> 0 UNION ALL SELECT concat('new/', item_id::VARCHAR, '.jpg'), item_id, item_id::DOUBLE FROM benchmark)"""
+_DIFF = """diff AS (SELECT coalesce(l.relative_path, s.relative_path) AS relative_path, s.id, CASE WHEN l.relative_path IS NULL THEN CASE
+ WHEN s.status = 'active' THEN 'missing' END WHEN s.id IS NULL THEN 'new'
+WHEN NOT (l.size = s.size AND abs(l.mtime - s.mtime) < 0.001 AND s.error = '' AND s.thumbnail <> '') THEN 'reanalyse' WHEN s.status =
+ 'active' THEN 'reuse' ELSE 'reactivate' END AS action FROM listing l FULL JOIN v_doc s ON s.relative_path = l.relative_path)"""
 
 
 @query(f"WITH {A.V_DOC}, {_LISTING}, {_DIFF} SELECT * FROM diff WHERE action IS NOT NULL")
@@ -362,23 +421,28 @@ def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.scan_diff(_listing(spark, sf_dir), A.docs_as_photos(spark, sf_dir))
 
 
-@query(f"WITH {A.V_DOC}, {_LISTING}, {_DIFF} SELECT v.id, CASE WHEN d.action = 'missing' THEN 'missing' WHEN d.action IN ('reactivate', 'reanalyse') THEN 'active' ELSE v.status END AS status FROM v_doc v LEFT JOIN diff d ON d.relative_path = v.relative_path AND d.action IS NOT NULL")
+@query(f"""WITH {A.V_DOC}, {_LISTING}, {_DIFF} SELECT v.id, CASE WHEN d.action = 'missing' THEN 'missing' WHEN d.action IN ('reactivate', 'reanalyse')
+ THEN 'active' ELSE v.status END AS status FROM v_doc v LEFT JOIN diff d ON d.relative_path = v.relative_path AND d.action IS NOT NULL""")
 def status_after_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = A.docs_as_photos(spark, sf_dir)
     return D.after_scan(photos, D.scan_diff(_listing(spark, sf_dir), photos)).select("id", "status")
 
 
-@query(f"WITH {A.V_DOC} SELECT id, CASE WHEN hit THEN 'remove' ELSE decision END AS decision, hit AS changed FROM (SELECT *, status = 'active' AND error = '' AND suggestion = 'remove' AND decision = '' AS hit FROM v_doc)")
+@query(f"""WITH {A.V_DOC} SELECT id, CASE WHEN hit THEN 'remove' ELSE decision END AS decision, hit AS changed FROM (SELECT *, status = 'active' AND
+ error = '' AND suggestion = 'remove' AND decision = '' AS hit FROM v_doc)""")
 def bulk_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mark_ai_removals(A.docs_as_photos(spark, sf_dir)).select("id", "decision", "changed")
 
 
-@query(f"WITH {A.V_DOC} SELECT id, CASE WHEN hit THEN '' ELSE decision END AS decision, hit AS changed FROM (SELECT *, status = 'active' AND decision <> '' AS hit FROM v_doc)")
+@query(f"""WITH {A.V_DOC} SELECT id, CASE WHEN hit THEN '' ELSE decision END AS decision, hit AS changed FROM (SELECT *, status = 'active' AND decision
+ <> '' AS hit FROM v_doc)""")
 def bulk_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.clear(A.docs_as_photos(spark, sf_dir)).select("id", "decision", "changed")
 
 
-@query(f"WITH {A.V_DOC}, l AS (SELECT value_id AS id, arg_max(decision, event_id) AS d FROM (SELECT event_id % 300 AS value_id, event_id, CASE event_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'remove' ELSE '' END AS decision FROM events) GROUP BY 1) SELECT v.id, CASE WHEN v.status = 'active' AND l.d IS NOT NULL THEN l.d ELSE v.decision END AS decision FROM v_doc v LEFT JOIN l ON l.id = v.id")
+@query(f"""WITH {A.V_DOC}, l AS (SELECT value_id AS id, arg_max(decision, event_id) AS d FROM (SELECT event_id % 300 AS value_id, event_id, CASE
+ event_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'remove' ELSE '' END AS decision FROM events) GROUP BY 1) SELECT v.id, CASE WHEN v.status =
+ 'active' AND l.d IS NOT NULL THEN l.d ELSE v.decision END AS decision FROM v_doc v LEFT JOIN l ON l.id = v.id""")
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = A.table(spark, sf_dir, "events").selectExpr("event_id % 300 as id", "event_id as at", "case event_id % 3 when 0 then 'keep' when 1 then 'remove' else '' end as decision")
     return D.decide(A.docs_as_photos(spark, sf_dir), log).select("id", "decision")
@@ -408,7 +472,8 @@ def decision_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.export_rows(A.docs_as_photos(spark, sf_dir).withColumn("reason", F.lit("")))
 
 
-@query(f"WITH {A.V_DOC} SELECT count(*) AS count, coalesce(sum(size + CASE WHEN motion_kind = 'apple_sidecar' AND motion_relative_path <> relative_path THEN motion_size ELSE 0 END), 0)::BIGINT AS total_size FROM v_doc WHERE decision = 'remove' AND status = 'active'")
+@query(f"""WITH {A.V_DOC} SELECT count(*) AS count, coalesce(sum(size + CASE WHEN motion_kind = 'apple_sidecar' AND motion_relative_path <>
+ relative_path THEN motion_size ELSE 0 END), 0)::BIGINT AS total_size FROM v_doc WHERE decision = 'remove' AND status = 'active'""")
 def quarantine_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.quarantine_preview(A.docs_as_photos(spark, sf_dir))
 
@@ -421,7 +486,8 @@ def _with_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAN = """clips AS (SELECT motion_relative_path AS clip, motion_size + CASE WHEN id % 24 = 0 THEN 1 ELSE 0 END AS clip_size FROM v_doc WHERE id % 12 = 0),
 plan AS (SELECT v.id, v.relative_path, v.size, CASE WHEN l.size IS NULL OR v.id % 6 = 0 AND c.clip IS NULL THEN 'missing'
  WHEN l.size <> v.size OR abs(l.mtime - v.mtime) > 0.010 OR v.id % 6 = 0 AND c.clip_size <> v.motion_size THEN 'changed' ELSE 'move' END AS state,
- concat('batch/', v.relative_path) AS target FROM v_doc v LEFT JOIN listing l ON l.relative_path = v.relative_path LEFT JOIN clips c ON c.clip = v.motion_relative_path
+concat('batch/', v.relative_path) AS target FROM v_doc v LEFT JOIN listing l ON l.relative_path = v.relative_path LEFT JOIN clips c ON
+ c.clip = v.motion_relative_path
  WHERE v.decision = 'remove' AND v.status = 'active')"""
 
 
@@ -430,18 +496,21 @@ def quarantine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.quarantine_plan(A.docs_as_photos(spark, sf_dir), _with_clips(spark, sf_dir), "batch")
 
 
-@query(f"WITH {A.V_DOC}, {_LISTING}, {_PLAN} SELECT count(*) FILTER (state = 'move') AS moved, coalesce(sum(size) FILTER (state = 'move'), 0)::BIGINT AS moved_bytes, count(*) FILTER (state <> 'move') AS skipped FROM plan")
+@query(f"""WITH {A.V_DOC}, {_LISTING}, {_PLAN} SELECT count(*) FILTER (state = 'move') AS moved, coalesce(sum(size) FILTER (state = 'move'), 0)::BIGINT
+ AS moved_bytes, count(*) FILTER (state <> 'move') AS skipped FROM plan""")
 def quarantine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.batch_totals(quarantine_plan(spark, sf_dir))
 
 
-@query(f"WITH {A.V_DOC}, {_LISTING}, {_PLAN} SELECT p.id, p.relative_path, CASE WHEN p.id % 2 = 0 THEN replace(p.relative_path, '.jpg', ' (restored).jpg') ELSE p.relative_path END AS back_to, p.id % 2 = 0 AS conflict FROM plan p WHERE state = 'move'")
+@query(f"""WITH {A.V_DOC}, {_LISTING}, {_PLAN} SELECT p.id, p.relative_path, CASE WHEN p.id % 2 = 0 THEN replace(p.relative_path, '.jpg',
+ ' (restored).jpg') ELSE p.relative_path END AS back_to, p.id % 2 = 0 AS conflict FROM plan p WHERE state = 'move'""")
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = A.docs_as_photos(spark, sf_dir).where("id % 2 = 0")
     return D.restore_plan(quarantine_plan(spark, sf_dir), taken)
 
 
-@query(f"""WITH {A.V_DOC}, {_LISTING}, n AS (SELECT relative_path, row_number() OVER (ORDER BY relative_path) AS rn FROM listing l WHERE NOT EXISTS (SELECT 1 FROM v_doc v WHERE v.relative_path = l.relative_path))
+@query(f"""WITH {A.V_DOC}, {_LISTING}, n AS (SELECT relative_path, row_number() OVER (ORDER BY relative_path) AS rn FROM listing l WHERE NOT
+ EXISTS (SELECT 1 FROM v_doc v WHERE v.relative_path = l.relative_path))
 SELECT v.id, v.relative_path, coalesce(l.size, v.size) AS size, v.decision FROM v_doc v LEFT JOIN listing l ON l.relative_path = v.relative_path
 UNION ALL SELECT (SELECT max(id) FROM v_doc) + n.rn, n.relative_path, l.size, '' FROM n JOIN listing l ON l.relative_path = n.relative_path""")
 def upsert_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,7 +518,10 @@ def upsert_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.upsert(photos, _listing(spark, sf_dir)).select("id", "relative_path", "size", "decision")
 
 
-@query("SELECT event_id AS id, concat('d', (user_id % 7)::VARCHAR, '/IMG_', event_id::VARCHAR, '.jpg') AS relative_path, CASE WHEN event_id % 5 = 0 THEN 'android_embedded' WHEN event_id % 3 = 0 THEN 'apple_sidecar' ELSE '' END AS motion_kind, CASE WHEN event_id % 5 = 0 THEN concat('d', (user_id % 7)::VARCHAR, '/IMG_', event_id::VARCHAR, '.jpg') WHEN event_id % 3 = 0 THEN concat('d', (user_id % 7)::VARCHAR, '/img_', event_id::VARCHAR, '.MOV') ELSE '' END AS motion_relative_path FROM events")
+@query("""SELECT event_id AS id, concat('d', (user_id % 7)::VARCHAR, '/IMG_', event_id::VARCHAR, '.jpg') AS relative_path, CASE WHEN event_id % 5 = 0
+ THEN 'android_embedded' WHEN event_id % 3 = 0 THEN 'apple_sidecar' ELSE '' END AS motion_kind, CASE WHEN event_id % 5 = 0 THEN concat('d',
+ (user_id % 7)::VARCHAR, '/IMG_', event_id::VARCHAR, '.jpg') WHEN event_id % 3 = 0 THEN concat('d', (user_id % 7)::VARCHAR, '/img_',
+ event_id::VARCHAR, '.MOV') ELSE '' END AS motion_relative_path FROM events""")
 def sidecar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.table(spark, sf_dir, "events")
     images = e.selectExpr("event_id as id", "concat('d', cast(user_id % 7 as string), '/IMG_', cast(event_id as string), '.jpg') as relative_path", "event_id % 5 = 0 as embedded")
@@ -472,14 +544,18 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.expr("concat('DCIM/', cast(o_custkey % 9 as string), '/IMG_', lpad(cast(o_orderkey as string), 6, '0'), if(o_orderkey % 3 = 0, '.CR2', '.jpg'))").alias("path"), F.expr("if(o_orderkey % 10 = 0, '', date_format(o_orderdate, if(o_orderkey % 2 = 0, 'yyyy:MM:dd HH:mm:ss', 'yyyy-MM-dd HH:mm:ss')))").alias("taken"))
 
 
-@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_orderkey END::BIGINT AS sequence, lower(concat('dcim/', (o_custkey % 9)::VARCHAR)) AS dir, concat(sha1({_PATH}), '.jpg') AS thumbnail, concat('thumbs/', sha1({_PATH}), '.jpg') AS thumbnail_path, substr(sha1(lower({_PATH})), 1, 16) AS project_id, substr(sha1(concat_ws(':', {_PATH}, o_orderkey)), 1, 20) AS motion_key, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(o_orderdate) // 1000000 END AS taken_s FROM orders")
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_orderkey END::BIGINT AS sequence, lower(concat('dcim/', (o_custkey %
+ 9)::VARCHAR)) AS dir, concat(sha1({_PATH}), '.jpg') AS thumbnail, concat('thumbs/', sha1({_PATH}), '.jpg') AS thumbnail_path,
+ substr(sha1(lower({_PATH})), 1, 16) AS project_id, substr(sha1(concat_ws(':', {_PATH}, o_orderkey)), 1, 20) AS motion_key, CASE WHEN
+ o_orderkey % 10 <> 0 THEN epoch_us(o_orderdate) // 1000000 END AS taken_s FROM orders""")
 def photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     name = S.thumbnail_name(p)
     return _named(spark, sf_dir).withColumn("at", S.capture_time(F.col("taken"))).select("id", S.sequence_number(p).alias("sequence"), S.directory(p).alias("dir"), name.alias("thumbnail"), S.thumbnail_path(F.concat(F.lit("C:\\old\\"), name)).alias("thumbnail_path"), S.project_id(p).alias("project_id"), S.motion_fingerprint(p, F.col("id")).alias("motion_key"), F.expr("timestampdiff(second, timestamp_ntz'1970-01-01 00:00:00', at)").alias("taken_s"))
 
 
-@query(f"SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 10 = 0, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(o_orderdate) // 1000000 END, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_orderkey END, lower({_PATH})) AS place FROM orders")
+@query(f"""SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 10 = 0, CASE WHEN o_orderkey % 10 <> 0 THEN
+ epoch_us(o_orderdate) // 1000000 END, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_orderkey END, lower({_PATH})) AS place FROM orders""")
 def shooting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
