@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import components, forest, partitions_for, table, written
+from lumisift.llm.common import components, discard, forest, partitions_for, table, written
 
 LEAST = 0.98
 FIT_ROWS = 16_384
@@ -237,6 +237,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST, lists: int | None = None
     point = F.col("vec_id").alias("point")
     named = fine.select(point, "m").join(links, "point", "left").join(near, "point", "left")
     named = written(named.select("point", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "point").alias("component"), "m"), "vector-points")
+    discard(found)
     copies = every.join(fine.where("m > 1").select(point, "label", "v"), ["label", "v"]).select("vec_id", "point").where("vec_id <> point")
     known = copies.join(named.where("m > 1").select("point", "n", "component"), "point").select("vec_id", "n", "component")
     known = known.union(named.where("m > 1 or n > 0").select("point", "n", "component"))
