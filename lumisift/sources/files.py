@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +21,43 @@ RAW = ("arw", "cr2", "cr3", "dng", "nef", "orf", "pef", "raf", "rw2")
 VIDEO = ("mp4", "mov", "m4v", "avi", "mkv", "webm", "mts", "m2ts", "3gp", "wmv")
 IMAGE = (*COMMON, *HEIF, *RAW)
 
+ROWS_AT_ONCE = 10_000
 LISTING = T.StructType([T.StructField("relative_path", T.StringType()), T.StructField("ext", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.DoubleType())])
 
 
-def list_folder(spark: SparkSession, root: str, skip: tuple[str, ...] = ("_quarantine", "_cache")) -> DataFrame:
-    """(relative_path, ext, size, mtime) of files under root; links are not followed, nothing outside root is listed."""
-    base, rows = os.path.realpath(root), []
-    for folder, dirs, names in os.walk(base, followlinks=False):
-        dirs[:] = sorted(d for d in dirs if d not in skip and not os.path.islink(os.path.join(folder, d)))
+def _listed(base: str, top: str, skip: tuple[str, ...], deep: bool) -> Iterator[tuple]:
+    """Rows of the files in a folder, and of those below it if deep; links are not followed."""
+    for folder, dirs, names in os.walk(os.path.join(base, top), followlinks=False):
+        dirs[:] = sorted(d for d in dirs if d not in skip and not os.path.islink(os.path.join(folder, d))) if deep else []
         for name in sorted(names):
             path = os.path.join(folder, name)
             if os.path.commonpath([base, os.path.realpath(path)]) != base:
                 continue
             stat = os.stat(path)
-            rows.append((os.path.relpath(path, base).replace(os.sep, "/"), os.path.splitext(name)[1].lower().lstrip("."), stat.st_size, stat.st_mtime))
-    return spark.createDataFrame(rows, LISTING)
+            yield os.path.relpath(path, base).replace(os.sep, "/"), os.path.splitext(name)[1].lower().lstrip("."), stat.st_size, stat.st_mtime
+
+
+def list_folder(spark: SparkSession, root: str, skip: tuple[str, ...] = ("_quarantine", "_cache")) -> DataFrame:
+    """(relative_path, ext, size, mtime) of files under root; links are not followed, nothing outside root is listed.
+
+    The driver sees only the folders directly in root; each is walked by a task, which must see root too.
+    """
+    base = os.path.realpath(root)
+    own = spark.createDataFrame(list(_listed(base, "", skip, False)), LISTING)
+    with os.scandir(base) as it:
+        tops = sorted(e.name for e in it if e.is_dir(follow_symlinks=False) and e.name not in skip)
+    if not tops:
+        return own
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for top in b["top"]:
+                rows = _listed(base, top, skip, True)
+                while part := list(islice(rows, ROWS_AT_ONCE)):
+                    yield pd.DataFrame(part, columns=LISTING.names)
+
+    folders = spark.createDataFrame([(t,) for t in tops], "top string").repartition(min(len(tops), 1000))
+    return own.unionByName(folders.mapInPandas(run, LISTING))
 
 
 def inside(root: str, relative: str) -> str:
