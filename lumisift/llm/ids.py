@@ -40,9 +40,10 @@ def _splitter(letters: str, space: str) -> Callable[[str], list[str]]:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.pieces = CACHE_PIECES if pieces is None else pieces
         self.library = Tokenizer.from_file(path)
         self.library.model._resize_cache(0)  # the pieces kept here are all that recur
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -86,7 +87,7 @@ class Encoder:
         for p, x in fresh.items():
             x += new[p]
         out = [self._one(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
-        room = CACHE_PIECES - (len(held) - len(fresh))
+        room = self.pieces - (len(held) - len(fresh))
         for p in fresh:
             if room > 0 and len(p) <= LONGEST_KEPT:
                 held[p] = new[p]
@@ -96,10 +97,10 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One a worker process, whose tasks share it."""
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, pieces: int | None = None) -> Encoder:
+    """One a worker process, whose tasks share it; it keeps at most so many pieces."""
+    return Encoder(path, pieces)
 
 
 def groups_of(batch: pa.RecordBatch, text: int, most: int = TEXTS_AT_ONCE, chars: int = TEXT_CHARS) -> Iterator[pa.RecordBatch]:

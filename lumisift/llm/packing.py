@@ -119,13 +119,15 @@ def sentence_ends(path: str) -> np.ndarray:
     return out
 
 
-def packed(docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH, stretch: int = STRETCH) -> DataFrame:
-    """The pieces of all documents; a sequence's id has its partition in the upper bits."""
+def packed(
+    docs: DataFrame, path: str, end_id: int = END_ID, width: int = WIDTH, stretch: int = STRETCH, pieces: int | None = None
+) -> DataFrame:
+    """The pieces of all documents; a sequence's id has its partition in the upper bits. `pieces` bounds what an encoder keeps."""
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closes = encoder(path).encode, sentence_ends(path)
+        encode, closes = encoder(path, pieces).encode, sentence_ends(path)
         base = TaskContext.get().partitionId() << 36
         doc_ids, held, size = [], [], 0
 
