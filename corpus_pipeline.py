@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lumisift.llm import mixing, packing, pii, simhash, toxicity
 from lumisift.llm.common import discard, table, written
 
+PIECES_KEPT = 100_000  # by a worker's encoder: fewer than packing alone keeps, as workers serve the other stages too
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is more likely above 0 than not go; null text counts as empty and stays, rows alike go together."""
@@ -39,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2,048 ids, null ids first; null text has its end id only."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), pieces=PIECES_KEPT)
 
 
 STAGES = [
