@@ -6,7 +6,9 @@ the merges, and no identifiers are made. Words recur, so each worker keeps the c
 
 Text is normalised and split as the tokenizer's file says (NFC, white space to one space, lower case character by
 character; contractions, letter runs, single digits, runs of other marks); its special strings count as one token
-each, as the library counts them. Null text counts as empty. Repeated rows and null ids are passed through.
+each, as the library counts them. Python's tables of characters and the library's are of different Unicode versions:
+texts with characters on which they might not agree are normalised and split by the library, and merged here like any
+other. Null text counts as empty. Repeated rows and null ids are passed through.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ class Counter:
     """Counts the tokens that the word-level tokenizer in the file gives."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -50,6 +55,7 @@ class Counter:
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.split = regex.compile(splits[0]["pattern"]["Regex"])
         self.symbols = byte_symbols()
+        self.byte = {c: b for b, c in enumerate(self.symbols)}
         marks = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, marks))) if marks else None
         self.held: dict[str, int] = {}
@@ -57,6 +63,13 @@ class Counter:
         self.plain = re.compile("[\t-\r -~\xa0\xa1\xbf-ſ‐-‧]*")
         self.quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
+        # where both surely have the same classes, cases and compositions: scripts and signs long in Unicode
+        self.sure = re.compile(
+            "[\t-\r -~\xa0-\u02af\u0300-\u0345\u0370-\u0377\u037a-\u037f\u0384-\u03ff\u0400-\u052f\u05d0-\u05ea\u0620-\u064a"
+            "\u0660-\u0669\u0e01-\u0e2f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2100-\u214f\u2190-\u27bf\u3001-\u3029"
+            "\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\uff01-\uff9f\U0001f300-\U0001f64f\U0001f680-\U0001f6c5]*"
+        )
+
     def word(self, word: str) -> int:
         """Initial symbols minus merges."""
         sym: list[str | None] = [self.symbols[b] for b in word.encode()]
@@ -85,12 +98,17 @@ class Counter:
                 heapq.heappush(heap, (r, h, p))
         return n - merges
 
-    def segment(self, text: str) -> int:
+    def words(self, text: str) -> list[str]:
+        if not self.plain.fullmatch(text) and not self.sure.fullmatch(text):
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(map(self.byte.__getitem__, p)).decode() for p, _ in pieces]
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # no final form: each character is lowered by itself
-        words = (self.quick if self.plain.fullmatch(text) else self.split).findall(text)
-        held = self.held
+        return (self.quick if self.plain.fullmatch(text) else self.split).findall(text)
+
+    def segment(self, text: str) -> int:
+        words, held = self.words(text), self.held
         try:
             return sum(map(held.__getitem__, words))
         except KeyError:

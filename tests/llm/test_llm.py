@@ -225,6 +225,14 @@ def test_token_counts_of_odd_characters():
         assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), x
 
 
+def test_token_counts_of_characters_of_other_unicode_versions():
+    """Unassigned here or composed in another order there, alone and beside letters, marks and digits."""
+    t, c = Tokenizer.from_file(WORD), tokencount.Counter(WORD)
+    odd = [0x7FD, 0x899, 0x8CF, 0xC3C, 0xEBA, 0x1715, 0x1ABF, 0x1DF6, 0xA7CB, 0xA7DC, 0x10EFD, 0x11070, 0x16FF0, 0x1E4EC, 0x32808, 0x3F988]
+    texts = [form.format(chr(x)) for x in odd for form in ("{}", "a{}b", "1{}2", "É{}!", "가{}각", "e{}\u0301")]
+    assert [c.count(x) for x in texts] == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def library_ids(text, end):
     t = Tokenizer.from_file(BYTE)
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
