@@ -1,8 +1,8 @@
 """Token ids of whole texts from a byte-level tokenizer file, words in common encoded once.
 
 The tokenizer splits a text into pieces and encodes each by itself, so a text's ids are its pieces' ids in turn.
-Pieces new to a worker are encoded by the tokenizers library, many in one call with line feeds between them (no
-other piece holds the line feed's id), and kept up to a bound of pieces, long ones left out. Texts with special
+A piece new to a worker goes straight to the library's model, in the characters that stand for its bytes, and is kept
+up to a bound of pieces; beyond it, and where it is long, only until such pieces fill LATE_BYTES. Texts with special
 strings, or with characters for which Python's pattern engine might split otherwise, go through the library whole.
 A call takes texts of about TEXT_CHARS bytes, whatever the batch they come in.
 """
@@ -10,6 +10,7 @@ A call takes texts of about TEXT_CHARS bytes, whatever the batch they come in.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,18 +20,37 @@ import pyarrow.compute as pc
 
 CACHE_PIECES = 400_000
 LONGEST_KEPT = 48
+LATE_BYTES = 8 << 20
 TEXTS_AT_ONCE, TEXT_CHARS = 1000, 1_000_000
-_CALL = 512
 
 
-class _Held(dict):
-    """Ids of pieces; a piece met first has a place that is filled before the call's ids are joined."""
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
-    def __init__(self) -> None:
-        self.fresh: dict[str, bytearray] = {}
 
-    def __missing__(self, piece: str) -> bytearray:
-        x = self[piece] = self.fresh[piece] = bytearray()
+class _Held(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit integers; a piece not held is encoded."""
+
+    def __init__(self, one: Callable[[str], bytes], most: int) -> None:
+        self.one, self.most = one, most
+        self.late: dict[str, bytes] = {}
+        self.late_bytes = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        x = self.late.get(piece)
+        if x is None:
+            x = self.one(piece)
+            if len(self) < self.most and len(piece) <= LONGEST_KEPT:
+                self[piece] = x
+            else:
+                if self.late_bytes > LATE_BYTES:
+                    self.late.clear()
+                    self.late_bytes = 0
+                self.late[piece] = x
+                self.late_bytes += 4 * len(piece) + len(x) + 150
         return x
 
 
@@ -43,34 +63,26 @@ class Encoder:
     def __init__(self, path: str, pieces: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self.pieces = CACHE_PIECES if pieces is None else pieces
         self.library = Tokenizer.from_file(path)
-        self.library.model._resize_cache(0)  # the pieces kept here are all that recur
+        self.model = self.library.model
+        self.model._resize_cache(0)  # the pieces kept here are all that recur
+        self.symbols = dict(enumerate(byte_symbols()))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.held = _Held()
+        self.held = _Held(self._piece, CACHE_PIECES if pieces is None else pieces)
         # where classes of characters are known: ASCII, and the Latin letters with some marks
         self.ascii = _splitter("A-Za-z", r"\t-\r ")
         self.latin = _splitter("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"\t-\r \xa0")
         self.plain = re.compile("[\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]*").fullmatch
-        self.feed = self._one("\n")
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {p: self._one(p) for p in pieces if "\n" in p or p.isspace()}
-        rest = [p for p in pieces if p not in out]
-        for k in range(0, len(rest), _CALL):
-            part = rest[k : k + _CALL]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0])
-            if len(self.feed) != 4 or len(cuts) != len(part) - 1:
-                out.update((p, self._one(p)) for p in part)
-                continue
-            data = ids.tobytes()
-            for p, s, e in zip(part, [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)], strict=True):
-                out[p] = data[s:e]
-        return out
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            known = piece.replace(" ", self.symbols[32])
+        else:
+            known = piece.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
 
     def _split(self, text: str) -> list[str] | None:
         """A text's pieces; None where the library must split it."""
@@ -79,22 +91,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        held = self.held
-        get = held.__getitem__
-        found = [None if (s := self._split(t)) is None else list(map(get, s)) for t in texts]
-        fresh, held.fresh = held.fresh, {}
-        new = self._new(list(fresh))
-        for p, x in fresh.items():
-            x += new[p]
-        out = [self._one(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
-        room = self.pieces - (len(held) - len(fresh))
-        for p in fresh:
-            if room > 0 and len(p) <= LONGEST_KEPT:
-                held[p] = new[p]
-                room -= 1
-            else:  # beyond the bounds, only for this call
-                del held[p]
-        return out
+        get = self.held.__getitem__
+        return [self._whole(t) if (s := self._split(t)) is None else b"".join(map(get, s)) for t in texts]
 
 
 @lru_cache(maxsize=1)

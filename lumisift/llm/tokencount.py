@@ -27,19 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift.llm.common import table
-from lumisift.llm.ids import groups_of, texts_of
+from lumisift.llm.ids import byte_symbols, groups_of, texts_of
 
 LIMIT = 2048
 CACHE_WORDS = 400_000
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
-
-
 class Counter:
     """Counts the tokens that the word-level tokenizer in the file gives."""
 

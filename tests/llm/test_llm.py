@@ -507,7 +507,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_cached_ids_are_the_librarys(monkeypatch):
     from lumisift.llm import ids
 
-    monkeypatch.setattr(ids, "CACHE_PIECES", 300)  # pieces beyond the bound serve one call only
+    monkeypatch.setattr(ids, "CACHE_PIECES", 300)
+    monkeypatch.setattr(ids, "LATE_BYTES", 5000)  # pieces beyond the bound are kept until they fill this
     own, library = ids.Encoder(BYTE), Tokenizer.from_file(BYTE)
     marks = [chr(c) for c in (*range(128), *range(128, 0x250), *range(0x2010, 0x2030), 0x20AC, 0x660, 0x3B1, 0x4E00, 0x1F642)]
     some = random.Random(3)
@@ -516,7 +517,7 @@ def test_cached_ids_are_the_librarys(monkeypatch):
         texts += ["", "  ", "a <|endoftext|> b", "<|endoftext|>", "it's we'll 've"]
         want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
         assert own.encode(texts) == want
-        assert len(own.held) <= 300 and not own.held.fresh and all(type(x) is bytes for x in own.held.values())
+        assert len(own.held) <= 300 and own.held.late_bytes <= 5000 + 8 * 80 + 150
 
 
 def test_media_survives_any_bytes():
